@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,32 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE, -1))
 
 
+class WordHash(dict):
+    """63-bit hashes of words (bytes); holds at most `most` of them."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
+        return h
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Hashes of the words of a UTF-8 text; bytes.split() splits at the six ASCII white-space characters."""
+        found = text.split() if text else []
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Finalise 64-bit hashes (the usual xor-shift-multiply)."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def spread(key: Column, seed: int) -> Column:
     """A pseudo-random long from a key, the same on every run."""
     return F.xxhash64(key, F.lit(seed))
@@ -102,19 +130,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     are. Only minima are gathered for a node, never its list of neighbours.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    shape = None
+    measured = [F.count("*"), F.bit_xor(F.xxhash64("u", "v"))]
+    shape = edges.agg(*measured).first()
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # large-star also keeps each node tied to its own least neighbour
-        large = large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.agg(*measured).first()
         if now == shape:
             break
         shape = now

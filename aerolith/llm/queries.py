@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import mixing, packing, rules, sharding
+from aerolith.llm import mixing, neardup, packing, quality, rules, sharding
 from aerolith.llm.common import table, word_count
 
 SHARD_DIMS = ["source", "lang", "n_chars"]
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return decided.select(F.col("key").alias("doc_id"), "n_features", "log_weight", "noisy", "kept")
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.jaccard_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", "n_links", "n_shingles", (F.col("key") == F.col("class_id")).alias("kept"))
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     keep = [
@@ -45,7 +55,7 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_hilbert_sharding, op4_source_mixing, op9_rule_ledger, op10_length_packing)}
+    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op9_rule_ledger, op10_length_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
