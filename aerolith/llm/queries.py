@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import mixing, neardup, packing, quality, rules, sharding
+from aerolith.llm import mixing, neardup, packing, quality, rules, sharding, vectors
 from aerolith.llm.common import table, word_count
 
 SHARD_DIMS = ["source", "lang", "n_chars"]
@@ -39,6 +39,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(table(spark, sf_dir, "documents"), "doc_id", "text")
     base = sum(rules.bit(n) for n in rules.BASE)
@@ -55,7 +59,7 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op9_rule_ledger, op10_length_packing)}
+    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op5_embedding_dedup, op9_rule_ledger, op10_length_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
