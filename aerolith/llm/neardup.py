@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import WordHash, components, mixed, n_partitions, settle
+from aerolith.llm.common import WordHash, components, fresh, mixed, n_partitions, settle
 from aerolith.llm.quality import row_hash
 
 SHINGLE = 5
@@ -268,6 +268,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of docs without all but one row of each class (least key, then least row hash; repeated rows count once)."""
     found = jaccard_classes(docs, key, text)
     best = found.groupBy("class").agg(F.min(F.struct(F.col("key").isNull(), "key", "_row")).alias("b")).select(F.col("b._row").alias("_row"))
-    rows = docs.withColumn("_h", row_hash(docs[key], docs[text]))
+    (h,) = fresh(docs, "_row")
+    rows = docs.withColumn(h, row_hash(docs[key], docs[text]))
     # one exchange by the row hash serves both
-    return rows.join(best.select(F.col("_row").alias("_h")), "_h", "left_semi").dropDuplicates(["_h", key]).select(*docs.columns)
+    return rows.join(best.select(F.col("_row").alias(h)), h, "left_semi").dropDuplicates([h, key]).select(*docs.columns)

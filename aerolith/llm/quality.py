@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import WordHash, mixed, settle, spread
+from aerolith.llm.common import WordHash, fresh, mixed, settle, spread
 
 BITS = 16
 #: Most labelled rows that the target model and the cut are fitted on, the least by hash.
@@ -148,6 +148,6 @@ def row_hash(key: Column, text: Column) -> Column:
 
 def kept_rows(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that the resampling keeps, with their columns."""
-    keys = decided.where("kept").select(F.col("key").alias("_key"), "_row").distinct()
-    rows = docs.withColumn("_h", row_hash(docs[key], docs[text]))
-    return rows.join(keys, (rows["_h"] == keys["_row"]) & rows[key].eqNullSafe(keys["_key"]), "left_semi").drop("_h")
+    (h,) = fresh(docs, "_row")
+    keys = decided.where("kept").select(F.col("_row").alias(h)).distinct()
+    return docs.withColumn(h, row_hash(docs[key], docs[text])).join(keys, h, "left_semi").select(*docs.columns)

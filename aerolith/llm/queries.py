@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import mixing, neardup, packing, quality, rules, sharding, vectors
+from aerolith.llm import mixing, neardup, packing, pii, quality, rules, sharding, vectors
 from aerolith.llm.common import table, word_count
 
+#: Key of the surrogates; a deployment passes its own.
+SECRET = "surrogate key"
 SHARD_DIMS = ["source", "lang", "n_chars"]
 
 
@@ -43,6 +45,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.replace_entities(docs, SECRET).select("doc_id", "text", "n_entities")
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(table(spark, sf_dir, "documents"), "doc_id", "text")
     base = sum(rules.bit(n) for n in rules.BASE)
@@ -59,7 +66,7 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op5_embedding_dedup, op9_rule_ledger, op10_length_packing)}
+    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op5_embedding_dedup, op6_pii_surrogates, op9_rule_ledger, op10_length_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
