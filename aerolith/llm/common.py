@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -102,9 +103,9 @@ def spread(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
-def lanes(n_rows: int, per_lane: int = 4096) -> int:
-    """How many hash lanes keep about per_lane rows in each."""
-    return max(8, 1 << max(0, (max(1, n_rows) // per_lane).bit_length()))
+def lanes(n_rows: int, per_lane: int = 512, most: int = 1 << 16) -> int:
+    """How many hash lanes keep about per_lane rows in each; with `most` lanes each holds a share of the rows."""
+    return min(most, max(8, 1 << max(0, (max(1, n_rows) // per_lane).bit_length())))
 
 
 def lane_of(key: Column, n_lanes: int) -> Column:
@@ -161,3 +162,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def open_store(uri: str) -> tuple:
+    """File system and path of a URI, for any store that Arrow knows; a bare path is local."""
+    from pyarrow import fs
+
+    if "://" not in uri and uri.startswith("file:"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def put(uri: str, data: bytes) -> None:
+    """Write a file whole or not at all: under another name first, so a lost task leaves no half file."""
+    store, path = open_store(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, path)
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the shared folder, deleted when the session's file systems close."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return store.makeQualified(place).toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import mixing, neardup, packing, pii, quality, rules, sharding, vectors
+from aerolith.llm import mixing, neardup, packing, pii, quality, rules, sharding, vectors, warc, wavelet
 from aerolith.llm.common import table, word_count
 
 #: Key of the surrogates; a deployment passes its own.
@@ -50,6 +50,20 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(docs, SECRET).select("doc_id", "text", "n_entities")
 
 
+def op7_wavelet_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = f.read()
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), spec).withColumnRenamed("key", "doc_id")
+
+
+def op8_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url").withColumnRenamed("key", "page_id")
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(table(spark, sf_dir, "documents"), "doc_id", "text")
     base = sum(rules.bit(n) for n in rules.BASE)
@@ -66,7 +80,7 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op5_embedding_dedup, op6_pii_surrogates, op9_rule_ledger, op10_length_packing)}
+    return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op5_embedding_dedup, op6_pii_surrogates, op7_wavelet_ids, op8_warc_reader, op9_rule_ledger, op10_length_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

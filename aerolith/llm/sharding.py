@@ -75,7 +75,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
         else:
             numbers[c] = F.col(c).cast("double")
     share = [i / (2**bits - 1) for i in range(1, 2**bits - 1)]
-    found = df.agg(*[F.percentile_approx(numbers[c], share, 10_000).alias(c) for c in dims]).first()
+    found = df.agg(*[F.percentile_approx(numbers[c], share, 1_000).alias(c) for c in dims]).first()
     out = []
     for c in dims:
         bounds = sorted(set(found[c] or []))
