@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import lane_of, lanes, running, settle, spread
+from aerolith.llm.common import fresh, lane_of, lanes, running, settle, spread
 
 SEED = 4
 CAP = 3
@@ -59,3 +59,19 @@ def mix(df: DataFrame, key: str, source: str, size: Column, cap: float = CAP, se
     rows = rows.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
     rows = rows.withColumn("copies", (F.col("epochs") + ((F.col("size") > 0) & (2 * part >= F.col("size"))).cast("long")).cast("int"))
     return rows.drop("_src", "_key", "_lane", "_left")
+
+
+def mixed_rows(df: DataFrame, row: Column, key: str, source: str, size: Column, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of df as often as the mix takes them whole, none where it takes less than half of one.
+
+    row is a hash that tells rows apart; rows that it does not are copies of one another and
+    are each taken as the mix says.
+    """
+    (h,) = fresh(df, "_row")
+    taken = mix(df, key, source, size, cap, seed, [row.alias("row")])
+    # equal rows: all that the mix takes of them, on one of them
+    often = taken.where("copies > 0").groupBy("row").agg(F.sum("copies").cast("int").alias("n")).withColumnRenamed("row", h)
+    one = df.withColumn(h, row)
+    (n, at) = fresh(one, "_n", "_at")
+    one = one.join(often.withColumnRenamed("n", n), h).withColumn(at, F.row_number().over(Window.partitionBy(h).orderBy(key)))
+    return one.where(F.col(at) == 1).withColumn(at, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*df.columns)
