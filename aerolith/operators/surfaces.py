@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions.graph import filled_holes
-from aerolith.functions.grid import cells, centre, dense, densified
+from aerolith.functions.grid import binned, cells, centre, dense, densified
 from aerolith.functions.knn import idw, nearest
 from aerolith.functions.stencil import dilated_square, gaussian_weights, smooth
 from aerolith.plans.storage import settle
@@ -18,7 +18,7 @@ from aerolith.schema import GridSpec, need, same_grid
 def footprint(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2) -> DataFrame:
     """The cells flown over: presence on a coarser grid, widened by the buffer, holes filled."""
     height, width = spec.height // step + 1, spec.width // step + 1
-    seen = cells(points, spec).select(F.expr(f"row div {step}L").alias("row"), F.expr(f"col div {step}L").alias("col")).distinct()
+    seen = binned(points, spec).select(F.expr(f"row div {step}L").alias("row"), F.expr(f"col div {step}L").alias("col")).distinct()
     coarse = GridSpec(spec.min_x, spec.max_y, spec.res_x * step, spec.res_y * step, width, height, spec.epsg)
     mask = densified(seen.withColumn("inside", F.lit(True)), coarse).withColumn("inside", F.coalesce("inside", F.lit(False)))
     mask = dilated_square(mask, "inside", max(1, math.ceil(buffer / (spec.res_x * step))))

@@ -159,10 +159,10 @@ def _footprint(res: float, buffer: float = 3.0, step: int = 2) -> list[str]:
         f"seen as (select distinct r//{step} r, c//{step} c from binned)",
         "cgrid as (select cast(rr as bigint) r, cast(cc as bigint) c, ch, cw from (select unnest(range(ch)) rr, ch, cw from cw), lateral (select unnest(range(cw)) cc))",
         f"wide as (select distinct g.r, g.c from cgrid g join (select r+dr r, c+dc c from seen, (select unnest(range(-{n},{n + 1})) dr), (select unnest(range(-{n},{n + 1})) dc)) s using (r,c))",
-        "free as (select r,c,ch,cw from cgrid anti join wide using (r,c))",
+        "free as materialized (select r,c,ch,cw from cgrid anti join wide using (r,c))",
         "flood(r,c) as (select r,c from free where r=0 or c=0 or r=ch-1 or c=cw-1 union select f.r,f.c from flood o join free f on abs(f.r-o.r)+abs(f.c-o.c)=1)",
         "inner_ as (select r,c from cgrid anti join flood using (r,c))",
-        f"foot as (select g.r, g.c from grid g join inner_ i on i.r=g.r//{step} and i.c=g.c//{step})",
+        f"foot as materialized (select g.r, g.c from grid g join inner_ i on i.r=g.r//{step} and i.c=g.c//{step})",
     ]
 
 
@@ -411,7 +411,7 @@ _STEPS = "o(code,dr,dc,dist) as (values " + ", ".join(f"({code},{dr},{dc},{'sqrt
 _D8 = [
     _STEPS,
     "cand as (select a.r,a.c,code,(a.z-b.z)/dist drp, b.r nr, b.c nc from dem a, o, dem b where b.r=a.r+dr and b.c=a.c+dc and a.z>b.z)",
-    "d8 as (select r,c,code,nr,nc from (select *, row_number() over (partition by r,c order by drp desc, code) k from cand) where k=1)",
+    "d8 as materialized (select r,c,code,nr,nc from (select *, row_number() over (partition by r,c order by drp desc, code) k from cand) where k=1)",
 ]
 
 
