@@ -25,22 +25,35 @@ def subtree_sizes(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the links have a cycle")
 
 
-def least_reachable(edges: DataFrame, nodes: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(node, root): the least node of each component of undirected edges (u, v)."""
-    both = settle(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    state = settle(nodes.select("node", F.col("node").alias("root")))
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Connected components of the edges (u, v): (node, root), root being the least node.
+
+    Alternates the large-star and small-star steps until the edges stay as they
+    are. Only minima are gathered for a node, never its list of neighbours.
+    """
+    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = settle(ordered(edges.where("u <> v")).distinct())
+    measured = [F.count("*"), F.bit_xor(F.xxhash64("u", "v"))]
+    shape = edges.agg(*measured).first()
     for _ in range(most_rounds):
-        seen = both.join(state, both["v"] == state["node"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
-        step = state.join(seen, "node", "left").select("node", F.least("root", F.coalesce("low", "root")).alias("root"), F.col("root").alias("was"))
-        # follow the root's own root: halves the distance still to go
-        hop = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        step = settle(step.join(hop, "root").select("node", F.least("root", "top").alias("root"), "was"))
-        if step.where("root <> was").isEmpty():
-            return step.select("node", "root")
-        state = step.select("node", "root")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = ordered(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(*measured).first()
+        if now == shape:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        shape = now
     raise RuntimeError("components did not settle")
 
 
+def least_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) for all nodes: the least node of its component; lone nodes are their own."""
+    return nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def filled_holes(raster: DataFrame, mask: str) -> DataFrame:
     """mask also true where background does not reach the border through 4-neighbours.
 
