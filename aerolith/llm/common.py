@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerolith.functions.graph import components  # noqa: F401  the operators take these from here
+from aerolith.plans.storage import settle, shared_dir  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(found)
-        return found
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        own = "file://" + tempfile.mkdtemp(prefix="aerolith-")
-        sc.setCheckpointDir(own)
-        return own
-    return held.get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder (a lost executor loses nothing of it)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -135,35 +115,6 @@ def running(df: DataFrame, group: list[str], lane: str, order: list[str], value:
     )
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of the edges (u, v): (node, root), root being the least node.
-
-    Alternates the large-star and small-star steps until the edges stay as they
-    are. Only minima are gathered for a node, never its list of neighbours.
-    """
-    edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    measured = [F.count("*"), F.bit_xor(F.xxhash64("u", "v"))]
-    shape = edges.agg(*measured).first()
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(*measured).first()
-        if now == shape:
-            break
-        shape = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
-
-
 def open_store(uri: str) -> tuple:
     """File system and path of a URI, for any store that Arrow knows; a bare path is local."""
     from pyarrow import fs
