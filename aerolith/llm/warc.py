@@ -13,8 +13,8 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import n_partitions, open_store, put, settle, workspace
@@ -61,7 +61,7 @@ def member(key: object, url: str | None, payload: bytes, payload_digest: str, re
     return z.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def _written(batches: Iterator[pd.DataFrame], folder: str, file_bytes: int) -> Iterator[pd.DataFrame]:
+def _written(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
     held, size, n, done = [], 0, 0, []
 
     def flush() -> None:
@@ -74,23 +74,22 @@ def _written(batches: Iterator[pd.DataFrame], folder: str, file_bytes: int) -> I
             done.append((name, len(data), n))
             held, size, n = [], 0, 0
 
-    for pdf in batches:
-        for key, url, html, dig, refers in zip(pdf["key"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], strict=True):
-            m = member(None if pd.isna(key) else key, url, html, dig, None if pd.isna(refers) else refers)
-            held.append(m)
-            size, n = size + len(m), n + 1
-            if size >= file_bytes:
-                flush()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            for key, url, html, sha, refers in zip(*(part.column(c).to_pylist() for c in ("key", "url", "payload", "sha", "refers_to")), strict=True):
+                m = member(key, url, html, base64.b32encode(bytes.fromhex(sha)).decode(), refers)
+                held.append(m)
+                size, n = size + len(m), n + 1
+                if size >= file_bytes:
+                    flush()
     flush()
-    yield pd.DataFrame(done, columns=["file", "bytes", "records"])
+    yield _batch(done, [("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
 
-def base32(raw: Column) -> Column:
-    """Base32 of 20 bytes given as hexadecimal, each 5 bits by conv()."""
-    quints = [F.conv(F.substring(raw, 10 * k + 1, 10), 16, 2) for k in range(4)]
-    bits = F.concat(*[F.lpad(q, 40, "0") for q in quints])
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(letters, F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE) -> DataFrame:
@@ -102,11 +101,11 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     payload = F.coalesce(pages[html].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", base32(F.sha1("payload")))
+    rows = rows.withColumn("sha", F.sha1("payload"))
     # digests alone are grouped (a copy in each map task), then met by one row each
-    last = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(last.drop("n"), "digest", "left").withColumn("refers_to", F.when(F.col("key") < F.col("last"), F.col("last")))
-    return settle(rows.mapInPandas(lambda b: _written(b, folder, file_bytes), "file string, bytes long, records long"))
+    last = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(last.drop("n"), "sha", "left").withColumn("refers_to", F.when(F.col("key") < F.col("last"), F.col("last")))
+    return settle(rows.select("key", "url", "payload", "sha", "refers_to").mapInArrow(lambda b: _written(b, folder, file_bytes), "file string, bytes long, records long"))
 
 
 def _header(data: bytes, z) -> tuple[dict, bytes] | None:
@@ -164,37 +163,34 @@ def scan(fetch, start: int, end: int, step: int = READ) -> Iterator[tuple[dict,
             at += step
 
 
-def _records(batches: Iterator[pd.DataFrame], kind: str) -> Iterator[pd.DataFrame]:
-    number = (lambda v: None if v in (None, "None") else int(v)) if kind in ("bigint", "int", "smallint", "tinyint") else (lambda v: None if v in (None, "None") else v)
-    for pdf in batches:
-        for file, start, end in zip(pdf["file"], pdf["start"], pdf["end"], strict=True):
+def _records(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    key_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
+    number = (lambda v: None if v in (None, "None") else v) if key_type == pa.string() else (lambda v: None if v in (None, "None") else int(v))
+    fields = [("key", key_type), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", key_type), ("payload", pa.binary())]
+    for batch in batches:
+        for file, start, end in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "end")), strict=True):
             store, path = open_store(file)
-            out = []
+            out, held = [], 0
             with store.open_input_file(path) as f:
-                for fields, block in scan(lambda a, n, f=f: f.read_at(n, a), start, end):
+                for said, block in scan(lambda a, n, f=f: f.read_at(n, a), start, end):
                     head, _, body = block.partition(b"\r\n\r\n")
                     size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
-                    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if fields["warc-type"] == "response" and digest(body) != said:
-                        raise ValueError(f"{file}: payload of {fields.get('warc-record-id')} does not match its digest")
-                    out.append((number(fields.get("x-page-id")), fields.get("warc-target-uri"), size, said, fields["warc-type"], number(fields.get("x-refers-to-page-id")), body if fields["warc-type"] == "response" else None))
-                    if len(out) >= 512:
-                        yield _frame(out, kind)
-                        out = []
-            yield _frame(out, kind)
-
-
-def _frame(rows: list, kind: str) -> pd.DataFrame:
-    c = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    ids = (lambda x: pd.array(list(x), "Int64")) if kind in ("bigint", "int", "smallint", "tinyint") else list
-    return pd.DataFrame({"key": ids(c[0]), "url": list(c[1]), "payload_bytes": pd.array(list(c[2]), "int64"), "payload_digest": list(c[3]), "record_type": list(c[4]), "refers_to": ids(c[5]), "payload": list(c[6])})
+                    sha, whole = said.get("warc-payload-digest", "").removeprefix("sha1:"), said["warc-type"] == "response"
+                    if whole and digest(body) != sha:
+                        raise ValueError(f"{file}: payload of {said.get('warc-record-id')} does not match its digest")
+                    out.append((number(said.get("x-page-id")), said.get("warc-target-uri"), size, sha, said["warc-type"], number(said.get("x-refers-to-page-id")), body if whole else None))
+                    held += len(body)
+                    if held >= READ:
+                        yield _batch(out, fields)
+                        out, held = [], 0
+            yield _batch(out, fields)
 
 
 def read_archives(files: DataFrame, kind: str = "bigint", split: int = SPLIT) -> DataFrame:
     """Read archives (file, bytes) by ranges: key, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)).cast("long"), F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.select("file", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
-    return ranges.repartition(n_partitions(files.sparkSession), "file", "start").mapInPandas(lambda b: _records(b, kind), f"key {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
+    return ranges.repartition(n_partitions(files.sparkSession), "file", "start").mapInArrow(lambda b: _records(b, kind), f"key {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
