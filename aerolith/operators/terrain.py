@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.graph import least_reachable
 from aerolith.functions.grid import every
-from aerolith.functions.stencil import ALONG, DOWN, box3, gradient, unmasked
+from aerolith.functions.stencil import along, box3, down, gradient, unmasked
 from aerolith.plans.storage import settle
 from aerolith.schema import ConfigurationError, GridSpec, same_grid
 
@@ -90,7 +90,7 @@ def contour_segments(raster: DataFrame, spec: GridSpec, interval: float = 1.0, b
     if not levels:
         return raster.where("false").select(F.lit(0.0).alias("level"), *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit("").alias("a"), F.lit("").alias("b"))
     first, last = levels[0], len(levels) - 1
-    df = src.withColumn("_e", F.lead("z").over(ALONG)).withColumn("_t", F.struct("z", "_e")).withColumn("_b", F.lead("_t").over(DOWN))
+    df = src.withColumn("_e", F.lead("z").over(along())).withColumn("_t", F.struct("z", "_e")).withColumn("_b", F.lead("_t").over(down()))
     df = df.select("row", "col", F.col("z").alias("nw"), F.col("_e").alias("ne"), F.col("_b.z").alias("sw"), F.col("_b._e").alias("se")).where("nw IS NOT NULL AND ne IS NOT NULL AND sw IS NOT NULL AND se IS NOT NULL")
     lo, hi = F.least("nw", "ne", "sw", "se"), F.greatest("nw", "ne", "sw", "se")
     k0 = F.greatest(F.floor((lo - first) / interval) - 1, F.lit(0)).cast("int")
