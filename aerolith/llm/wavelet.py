@@ -8,14 +8,18 @@ before it, so a lookup opens a chunk or two of each plane.
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 import json
 import struct
+import sys
+import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +33,12 @@ END = 1
 #: Ranges of keys that shards are put together from.
 RANGES = 4096
 SHARD_BYTES = 16 << 20
-#: Words whose ids a task keeps.
-WORDS = 300_000
+#: Parts of words whose ids a Python worker keeps, and as many from before.
+WORDS = 400_000
+#: Marks that may end a word; a run of them is one unit for the tokenizer.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that are one unit however they are mixed, and whose lower case is one letter: those of Latin-1.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$"
 
 
 def encode_segment(ids: np.ndarray, bits: int, about: dict) -> bytes:
@@ -38,7 +46,7 @@ def encode_segment(ids: np.ndarray, bits: int, about: dict) -> bytes:
     x, planes, body, at = ids, [], [], 0
     pack = zstandard.ZstdCompressor(level=1)
     for p in range(bits - 1, -1, -1):
-        ones = (x >> p).astype(np.uint8) & 1
+        ones = (x & x.dtype.type(1 << p)) != 0
         packed = np.packbits(ones)
         chunks, before = [], 0
         for i in range(0, len(packed), CHUNK):
@@ -49,8 +57,7 @@ def encode_segment(ids: np.ndarray, bits: int, about: dict) -> bytes:
             body.append(blob)
             at += len(blob)
         planes.append({"zeros": int(len(x) - before), "chunks": chunks})
-        mask = ones.astype(bool)
-        x = np.concatenate([x[~mask], x[mask]])
+        x = np.concatenate([x.take(np.flatnonzero(~ones)), x.take(np.flatnonzero(ones))])
     head = pack.compress(json.dumps({"n": len(ids), "bits": bits, "planes": planes, "about": about}).encode())
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(body)
 
@@ -141,12 +148,12 @@ class Segment:
 
     def decode(self) -> np.ndarray:
         """All ids: the stable partitions are undone from the last plane up."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
             ones, z = self.plane(p), self.planes[p]["zeros"]
             out = np.empty_like(x)
-            out[~ones] = x[:z]
-            out[ones] = x[z:] | np.uint32(1 << (self.bits - 1 - p))
+            out[np.flatnonzero(~ones)] = x[:z]
+            out[np.flatnonzero(ones)] = x[z:] | x.dtype.type(1 << (self.bits - 1 - p))
             x = out
         return x
 
@@ -161,34 +168,157 @@ def open_segment(uri: str, whole: bool = False) -> Segment:
     return Segment(lambda a, n: f.read_at(n, a))
 
 
-class WordIds(dict):
-    """Ids of each white-space separated word; the tokenizer neither joins words nor looks beyond one."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else one from 256 up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __init__(self, tokenizer_json: str, dtype):
+
+class TextIds:
+    """Ids of whole texts, each with an end id, as an Arrow array of bytes.
+
+    A tokenizer that drops white space neither joins words nor looks beyond one. So the texts of a
+    batch are split and their distinct words numbered in Arrow; a word of plain letters and then
+    marks is two units, which the tokenizer's model takes in its own byte letters and lower
+    case, a thousand in one text; other words go through the whole tokenizer. A tokenizer of
+    another kind gets whole texts.
+    """
+
+    def __init__(self, tokenizer_json: str, dtype, whole: bool, end: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._t = Tokenizer.from_str(tokenizer_json)
         self._t.encode_special_tokens = True  # in a text their names are ordinary characters
-        self._dtype = dtype
-
-    def of(self, text: bytes | None, end: int) -> np.ndarray:
-        words = (text or b"").split()
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > WORDS:
-            self.clear()
-            new = list(set(words))
-        if new:
-            found = self._t.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.update(zip(new, (tuple(e.ids) for e in found), strict=True))
-        return np.fromiter(itertools.chain(itertools.chain.from_iterable(map(self.__getitem__, words)), (end,)), self._dtype)
-
-
-def _tokenised(batches: Iterator[pd.DataFrame], tokenizer_json: str, wide: bool, end: int) -> Iterator[pd.DataFrame]:
-    ids = WordIds(tokenizer_json, np.uint32 if wide else np.uint16)
-    for pdf in batches:
-        found = [ids.of(t, end) for t in pdf["_text"]]
-        yield pdf.drop(columns=["_text"]).assign(ids=[x.tobytes() for x in found], crc=[zlib.crc32(x.astype("<u4").tobytes()) for x in found])
+        self._dtype, self._whole = np.dtype(dtype), whole
+        self._end = np.array([end], dtype).tobytes()
+        self._letters = byte_letters()
+        # what was held before the last clearing stays, so that frequent units come back without work
+        self._held: list[dict[str, bytes]] = [{}, {}]
+        self._old: list[dict[str, bytes]] = [{}, {}]
+        if not whole:
+            spec = json.loads(tokenizer_json)
+            vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+            self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self._model = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self._dtype).tobytes() for i in range(0, len(texts), 64) for e in self._t.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        if "" in units:
+            at = units.index("")
+            rest = self._units(units[:at] + units[at + 1 :])
+            return [*rest[:at], b"", *rest[at:]]
+        out: list[bytes] = []
+        for i in range(0, len(units), 1024):
+            some = units[i : i + 1024]
+            shown = " ".join(u if u.isascii() else u.encode().decode("latin-1").translate(self._letters) for u in some)
+            ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self._dtype)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw, size = ids.tobytes(), self._dtype.itemsize
+            at = (ends * size).tolist()
+            out += [raw[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)]
+        return out
+
+    def _of(self, parts: pa.Array, learn: Callable[[list[str]], list[bytes]], kind: int) -> list[bytes]:
+        """Ids of distinct units (kind 0) or odd words (1), from what is held or anew."""
+        keys = parts.to_numpy(zero_copy_only=False).tolist()
+        held, old = self._held[kind], self._old[kind]
+        found = list(map(held.get, keys))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking:
+            names = [keys[i] for i in lacking]
+            ids = list(map(old.get, names))
+            anew = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(anew, learn([names[i] for i in anew]), strict=True):
+                ids[i] = x
+            for i, x in zip(lacking, ids, strict=True):
+                found[i] = x
+            if len(held) + len(names) > WORDS:
+                self._old[kind], self._held[kind] = held, {}
+            self._held[kind].update(zip(names, ids, strict=True))
+        return found
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts, "")
+        if self._whole:
+            return pa.array([x + self._end for x in self._alone(texts.to_pylist())], pa.binary())
+        lists = pc.ascii_split_whitespace(texts)
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary
+        core = pc.ascii_rtrim(words, MARKS)
+        tail = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
+        plain = pc.match_substring_regex(core, PLAIN).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
+        # one table of ids for units, ends of words, odd words, and the end id at its very end
+        table = self._of(low.dictionary, self._units, 0)
+        first = np.zeros(len(words), np.int64)
+        first[plain] = low.indices.to_numpy()
+        second = np.full(len(words), -1, np.int64)
+        marked = np.flatnonzero(plain & (tail > 0))
+        ends = pa.array([w[-t:] for w, t in zip(words.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist(), tail[marked].tolist(), strict=True)], pa.string()).dictionary_encode()
+        second[marked] = len(table) + ends.indices.to_numpy()
+        table = table + self._of(ends.dictionary, self._units, 0)
+        odd = np.flatnonzero(~plain)
+        first[odd] = len(table) + np.arange(len(odd))
+        table = table + self._of(words.take(pa.array(odd)), self._alone, 1) + [self._end]
+        # each word occurrence is one or two entries of the table, each text ends with the last
+        size = self._dtype.itemsize
+        length = np.fromiter(map(len, table), np.int64, len(table)) // size
+        start = np.cumsum(length) - length
+        ids = np.frombuffer(b"".join(table), self._dtype)
+        two = (second >= 0)[word]
+        entries = np.repeat(first[word], 1 + two)
+        place = np.cumsum(1 + two)
+        entries[place[two] - 1] = second[word[two]]
+        text_ends = np.concatenate([[0], place])[np.cumsum(counts)]
+        entries = np.insert(entries, text_ends, len(table) - 1)
+        lengths = length[entries]
+        total = np.cumsum(lengths)
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(start[entries] - (total - lengths), lengths)
+        out = ids[at]
+        bounds = np.concatenate([[0], total[text_ends + np.arange(len(counts))]]) if len(counts) else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((bounds * size).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer looks at white-space separated words one by one."""
+    steps = lambda part, inner: [x["type"] for x in (spec.get(part) or {}).get(inner, [])]
+    split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), {})
+    return (
+        spec["model"].get("end_of_word_suffix") is not None
+        and steps("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and steps("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+    )
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer_json: str, wide: bool, whole: bool, end: int) -> Iterator[pa.RecordBatch]:
+    # kept from task to task of one Python worker
+    held = sys.modules.setdefault("_aerolith_text_ids", types.ModuleType("_aerolith_text_ids")).__dict__
+    name = f"{wide} {whole} {end} {hashlib.md5(tokenizer_json.encode()).hexdigest()}"
+    ids = held[name] if name in held else held.setdefault(name, TextIds(tokenizer_json, np.uint32 if wide else np.uint16, whole, end))
+    for batch in batches:
+        for part in by_bytes(batch, "_text"):
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("shard"), ids.of(part.column("_text"))], ["key", "shard", "ids"])
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes in a column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _written(batches: Iterator[pd.DataFrame], folder: str, bits: int, wide: bool, segment: int) -> Iterator[pd.DataFrame]:
@@ -220,15 +350,15 @@ def _written(batches: Iterator[pd.DataFrame], folder: str, bits: int, wide: bool
 def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END, segment: int = SEGMENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the ids of every whole text in ascending key order; returns the manifest (shard, seg, file, n_tokens, n_docs).
 
-    The key is a whole number; null keys come last, and rows with equal keys are in order of the
-    checksum of their ids. Null and empty texts are the end id alone. An empty table writes nothing.
+    The key is a whole number; null keys come last, and rows with equal keys are in order of
+    their ids. Null and empty texts are the end id alone. An empty table writes nothing.
     """
-    size = json.loads(tokenizer_json)["model"]["vocab"]
-    added = json.loads(tokenizer_json).get("added_tokens", [])
-    top = max([end, *size.values(), *(a["id"] for a in added)])
+    spec = json.loads(tokenizer_json)
+    top = max([end, *spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))])
+    whole = not drops_white_space(spec)
     bits = max(1, top.bit_length())
     wide = bits > 16
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("binary").alias("_text"))
+    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("_text"))
     lo, hi = rows.agg(F.min("key"), F.max("key")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     at = lambda k: F.when(k.isNull(), RANGES).otherwise(F.floor((k - lo).cast("double") / float(hi - lo + 1) * RANGES)).cast("int")
@@ -241,8 +371,9 @@ def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc
             shard, held = shard + 1, 0
         shard_of[k], held = shard, held + w
     rows = rows.withColumn("shard", F.get(F.array(*map(F.lit, shard_of)), at(F.col("key"))))
-    ids = rows.mapInPandas(lambda b: _tokenised(b, tokenizer_json, wide, end), "key long, shard int, ids binary, crc long")
-    placed = ids.repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "crc").drop("crc")
+    held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    ids = rows.select("key", "shard", "_text").mapInArrow(lambda b: _tokenised(b, held.value, wide, whole, end), "key long, shard int, ids binary")
+    placed = ids.repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "ids")
     return settle(placed.mapInPandas(lambda b: _written(b, folder, bits, wide, segment), "shard int, seg int, file string, n_tokens long, n_docs long"))
 
 
