@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.grid import cell_of
 from aerolith.operators.surfaces import ground_points
+from aerolith.plans.storage import settle
 from aerolith.schema import ControlPointError, GridSpec
 
 
@@ -48,6 +49,7 @@ def raster_residuals(raster: DataFrame, spec: GridSpec, control: DataFrame, tole
 
 def judged(residuals: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Residuals with outlier: far from the median by the median absolute deviation, and over the tolerance."""
+    residuals = settle(residuals)  # one row a control point, read three times
     base = residuals.agg(F.percentile("delta", F.lit(0.5)).alias("_med"), F.stddev_samp("delta").alias("_std"), F.count("*").alias("_n"))
     one = residuals.crossJoin(F.broadcast(base))
     mad = one.agg(F.percentile(F.abs(F.col("delta") - F.col("_med")), F.lit(0.5)).alias("_mad"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.grid import binned, cells, densified
+from aerolith.plans.storage import settle
 from aerolith.schema import CLASS_NAMES, ConfigurationError, GridSpec, NoOverlapError, need
 
 QUANTILES = (1, 5, 25, 50, 75, 95, 99)
@@ -98,6 +99,7 @@ def strip_differences(first: DataFrame, second: DataFrame, res: float = 0.5, rai
 
 def strip_alignment(diffs: DataFrame, trim: tuple[float, float] = (5, 95)) -> DataFrame:
     """One row: mean, median, deviation of the trimmed differences; counts. All 0 without overlap."""
+    diffs = settle(diffs)  # read twice, and far smaller than the strips
     ends = diffs.agg(F.percentile("diff", F.array(F.lit(trim[0] / 100), F.lit(trim[1] / 100))).alias("_p"), F.count("*").alias("sampled_cells"))
     kept = diffs.crossJoin(F.broadcast(ends)).where(F.col("diff").between(F.get("_p", F.lit(0)), F.get("_p", F.lit(1))))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
