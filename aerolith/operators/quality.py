@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions.grid import every
@@ -83,6 +83,12 @@ class Audit:
         return "\n".join([*lines, "", "| metric | value |", "|-|-|", *(f"| {k} | {v} |" for k, v in self.metrics.items())]) + "\n"
 
 
+def audit_rows(spark: SparkSession, audit: Audit) -> DataFrame:
+    """An audit as a table: a row for each issue, and one of code SCORE with the status and what is left of 100."""
+    rows = [(i.code, i.severity, float(i.penalty)) for i in audit.issues] + [("SCORE", audit.status, float(audit.score))]
+    return spark.createDataFrame(rows, "code string, severity string, points double")
+
+
 def _audit(kind: str, issues: list[Issue], metrics: dict, score: float | None = None) -> Audit:
     score = max(0.0, min(100.0, 100.0 - sum(i.penalty for i in issues))) if score is None else score
     status = max((i.severity for i in issues), key=LEVELS.index, default="HEALTHY")

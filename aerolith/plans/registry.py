@@ -545,6 +545,38 @@ def qc_cloud(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.cloud_metrics(adapters.points(spark, d)))
 
 
+def _score(issues: str) -> str:
+    """Rows of an audit: the issues and the score."""
+    worst = "case when count(*) filter (severity='CRITICAL')>0 then 'CRITICAL' when count(*) filter (severity='WARNING')>0 then 'WARNING' else 'HEALTHY' end"
+    return f"select code, severity, CAST(points AS DOUBLE) points from {issues} union all select 'SCORE', {worst}, CAST(greatest(0, least(100, 100-coalesce(sum(points),0))) AS DOUBLE) from {issues}"
+
+
+@query(
+    _sql(
+        [
+            *_RESID,
+            "q as (select quantile_cont(z,0.01) p1, quantile_cont(z,0.99) p99 from pts)",
+            "cm as (select count(*) n, count(*)/greatest(1,(max(x)-min(x))*(max(y)-min(y))) dens, count(*) filter (classification=2)*CAST(100 AS DOUBLE)/count(*) gp, count(*) filter (z>p99+3*(p99-p1) or z<p1-3*(p99-p1)) noise from pts, q)",
+            "m as (select quantile_cont(delta,0.5) med, stddev_samp(delta) sd, count(*) n from rr)",
+            "md as (select quantile_cont(abs(delta-med),0.5) mad from rr, m)",
+            "sg as (select case when mad>1e-4 then mad*CAST(1.4826 AS DOUBLE) when sd>1e-4 then sd else 0.05 end sigma from m, md)",
+            "f as (select rr.*, n>=3 and (abs(delta-med)>greatest(2.5*sigma,1.5*0.05) or (abs(delta)>3*0.05 and abs(delta-med)>2*0.05)) and abs(delta)>0.05 outl from rr, m, sg)",
+            "gs as (select count(*) n, avg(delta) bias, sqrt(avg(delta*delta)) rmse, count(*) filter (outl) outs from f)",
+            """iss as (select 'LAS_CRS_MISSING' code, 'CRITICAL' severity, 25 points
+ union all select 'LAS_MULTIPATH_NOISE', case when noise*100>n then 'CRITICAL' else 'WARNING' end, case when noise*100>n then 20 else 10 end from cm where noise>0
+ union all select 'LAS_UNCLASSIFIED', 'CRITICAL', 30 from cm where gp<0.1
+ union all select 'LAS_LOW_GROUND_DENSITY', 'WARNING', 15 from cm where gp>=0.1 and gp/100*dens<0.5
+ union all select 'GCP_VERTICAL_DATUM_SHIFT', case when abs(bias)>0.15 then 'CRITICAL' else 'WARNING' end, 25 from gs where n>0 and not (rmse<=0.05 and outs=0) and abs(bias)>0.05
+ union all select 'GCP_ACCURACY_EXCEEDS_TOLERANCE', 'WARNING', 15 from gs where n>0 and not (rmse<=0.05 and outs=0) and abs(bias)<=0.05
+ union all select 'GCP_OUTLIER_BLUNDER', 'WARNING', 10 from gs where outs>0)""",
+        ],
+        _score("iss"),
+    )
+)
+def qc_cloud_audit(spark: SparkSession, d: str) -> DataFrame:
+    return quality.audit_rows(spark, quality.inspect_cloud(adapters.points(spark, d), None, control=adapters.control(spark, d)))
+
+
 _VOID = "vd as (select r,c,case when (r*7+c*13)%97<>0 then z end z from dem)"
 
 
@@ -553,6 +585,28 @@ def qc_dem(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.raster_metrics(adapters.with_voids(adapters.dem(spark, d))))
 
 
+@query(
+    _sql(
+        [
+            DEM,
+            _VOID,
+            "vs as (select r,c,z,coalesce(z,-9999) u from vd)",
+            _grad("vs", "u", extra=", z"),
+            "mt as (select (count(*)-count(z))*CAST(100 AS DOUBLE)/count(*) void, count(*) filter (z is not null and sqrt(gx*gx+gy*gy)>15) spikes from g)",
+            "iss as (select 'DEM_VOID_POCKETS' code, case when void>15 then 'CRITICAL' else 'WARNING' end severity, case when void>15 then 25 else 10 end points from mt where void>1.5 union all select 'DEM_ELEVATION_SPIKES', 'WARNING', 15 from mt where spikes>0)",
+        ],
+        _score("iss"),
+    )
+)
+def qc_dem_audit(spark: SparkSession, d: str) -> DataFrame:
+    df, spec = raster(spark, d)
+    return quality.audit_rows(spark, quality.inspect_raster(adapters.with_voids(df), spec_with_crs(spec)))
+
+
+def spec_with_crs(spec: GridSpec) -> GridSpec:
+    return GridSpec(spec.min_x, spec.max_y, spec.res_x, spec.res_y, spec.width, spec.height, 32632)
+
+
 _M3 = ", ".join(f"coalesce({a}({b}) over (partition by r order by c),z)" if a else "z" for a, b in (("lag", "z"), ("", ""), ("lead", "z")))
 
 
