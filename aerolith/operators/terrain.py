@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -137,12 +138,31 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"level": pdf["level"].iloc[0], "line": lines})
 
 
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chains each root's segments, which arrive together; one line's segments are in memory at a time."""
+    held, made, n = [], [], 0
+    for pdf in batches:
+        for _, g in pdf.groupby("root", sort=False):
+            if held and held[0]["root"].iloc[0] != g["root"].iloc[0]:
+                made.append(_chained(pd.concat(held)))
+                n, held = n + len(made[-1]), []
+                if n > 256:
+                    yield pd.concat(made)
+                    n, made = 0, []
+            held.append(g)
+    if held:
+        made.append(_chained(pd.concat(held)))
+    if made:
+        yield pd.concat(made)
+
+
 def contour_lines(segments: DataFrame) -> DataFrame:
-    """Segments joined end to end: level and line (array of x, y). Each connected line is chained in a task of its own."""
+    """Segments joined end to end: level and line (array of x, y)."""
     seg = settle(segments.withColumn("u", F.concat_ws(" ", F.col("level").cast("string"), "a")).withColumn("v", F.concat_ws(" ", F.col("level").cast("string"), "b")))
     nodes = seg.select(F.col("u").alias("node")).unionByName(seg.select(F.col("v").alias("node"))).distinct()
     roots = least_reachable(seg.select("u", "v"), nodes)
-    return seg.join(roots, seg["u"] == roots["node"]).select("root", "level", "x1", "y1", "x2", "y2", "a", "b").groupBy("root").applyInPandas(_chained, "level double, line array<struct<x:double,y:double>>")
+    rows = seg.join(roots, seg["u"] == roots["node"]).select("root", "level", "x1", "y1", "x2", "y2", "a", "b")
+    return rows.repartition("root").sortWithinPartitions("root").mapInPandas(_lines, "level double, line array<struct<x:double,y:double>>")
 
 
 def _volumes(diff: DataFrame, area: float) -> DataFrame:
