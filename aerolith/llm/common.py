@@ -37,10 +37,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def text_of(df: DataFrame, text: str = "text") -> Column:
-    return F.coalesce(df[text], F.lit(""))
-
-
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
