@@ -50,14 +50,18 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(docs, SECRET).select("doc_id", "text", "n_entities")
 
 
-def op7_wavelet_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+def tokenizer_json(tokenizer: str | None = None) -> str:
+    """The tokenizer of op7, op10 and the pipeline."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     with open(tokenizer, encoding="utf-8") as f:
-        spec = f.read()
-    return wavelet.round_trip(table(spark, sf_dir, "documents"), spec).withColumnRenamed("key", "doc_id")
+        return f.read()
+
+
+def op7_wavelet_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), tokenizer_json(tokenizer)).withColumnRenamed("key", "doc_id")
 
 
 def op8_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +79,7 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    packed = packing.pack(docs, "doc_id", word_count(docs["text"]) + 1)
+    packed = packing.pack(docs, "doc_id", wavelet.token_count(docs["text"], tokenizer_json(), special=True))
     return packed.withColumnRenamed("key", "doc_id").withColumnRenamed("length", "n_tokens")
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import open_store, put, settle, workspace
@@ -182,14 +182,15 @@ class TextIds:
     batch are split and their distinct words numbered in Arrow; a word of plain letters and then
     marks is two units, which the tokenizer's model takes in its own byte letters and lower
     case, a thousand in one text; other words go through the whole tokenizer. A tokenizer of
-    another kind gets whole texts.
+    another kind gets whole texts. With `special`, as is the library's default, the name of a
+    special token in a text is that token; without, it is ordinary characters.
     """
 
-    def __init__(self, tokenizer_json: str, dtype, whole: bool, end: int):
+    def __init__(self, tokenizer_json: str, dtype, whole: bool, end: int, special: bool = False):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_str(tokenizer_json)
-        self._t.encode_special_tokens = True  # in a text their names are ordinary characters
+        self._t.encode_special_tokens = not special
         self._dtype, self._whole = np.dtype(dtype), whole
         self._end = np.array([end], dtype).tobytes()
         self._letters = byte_letters()
@@ -243,10 +244,8 @@ class TextIds:
             self._held[kind].update(zip(names, ids, strict=True))
         return found
 
-    def of(self, texts: pa.Array) -> pa.Array:
-        texts = pc.fill_null(texts, "")
-        if self._whole:
-            return pa.array([x + self._end for x in self._alone(texts.to_pylist())], pa.binary())
+    def _entries(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, the length of each entry, the entries of all texts in order, their running length, and its value at the ends of texts."""
         lists = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
@@ -270,20 +269,33 @@ class TextIds:
         # each word occurrence is one or two entries of the table, each text ends with the last
         size = self._dtype.itemsize
         length = np.fromiter(map(len, table), np.int64, len(table)) // size
-        start = np.cumsum(length) - length
-        ids = np.frombuffer(b"".join(table), self._dtype)
         two = (second >= 0)[word]
         entries = np.repeat(first[word], 1 + two)
         place = np.cumsum(1 + two)
         entries[place[two] - 1] = second[word[two]]
         text_ends = np.concatenate([[0], place])[np.cumsum(counts)]
         entries = np.insert(entries, text_ends, len(table) - 1)
-        lengths = length[entries]
-        total = np.cumsum(lengths)
+        total = np.cumsum(length[entries])
+        bounds = np.concatenate([[0], total[text_ends + np.arange(len(counts))]]) if len(counts) else np.zeros(1, np.int64)
+        return table, length, entries, total, bounds
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts, "")
+        if self._whole:
+            return pa.array([x + self._end for x in self._alone(texts.to_pylist())], pa.binary())
+        table, length, entries, total, bounds = self._entries(texts)
+        start, lengths = np.cumsum(length) - length, length[entries]
+        ids = np.frombuffer(b"".join(table), self._dtype)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(start[entries] - (total - lengths), lengths)
         out = ids[at]
-        bounds = np.concatenate([[0], total[text_ends + np.arange(len(counts))]]) if len(counts) else np.zeros(1, np.int64)
-        return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((bounds * size).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((bounds * self._dtype.itemsize).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids of() gives for each text."""
+        texts = pc.fill_null(texts, "")
+        if self._whole:
+            return np.array([len(x) // self._dtype.itemsize + 1 for x in self._alone(texts.to_pylist())], np.int64)
+        return np.diff(self._entries(texts)[-1])
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -298,11 +310,15 @@ def drops_white_space(spec: dict) -> bool:
     )
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer_json: str, wide: bool, whole: bool, end: int) -> Iterator[pa.RecordBatch]:
-    # kept from task to task of one Python worker
+def _text_ids(tokenizer_json: str, wide: bool, whole: bool, end: int, special: bool) -> TextIds:
+    """Kept from task to task of one Python worker."""
     held = sys.modules.setdefault("_aerolith_text_ids", types.ModuleType("_aerolith_text_ids")).__dict__
-    name = f"{wide} {whole} {end} {hashlib.md5(tokenizer_json.encode()).hexdigest()}"
-    ids = held[name] if name in held else held.setdefault(name, TextIds(tokenizer_json, np.uint32 if wide else np.uint16, whole, end))
+    name = f"{wide} {whole} {end} {special} {hashlib.md5(tokenizer_json.encode()).hexdigest()}"
+    return held[name] if name in held else held.setdefault(name, TextIds(tokenizer_json, np.uint32 if wide else np.uint16, whole, end, special))
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer_json: str, wide: bool, whole: bool, end: int) -> Iterator[pa.RecordBatch]:
+    ids = _text_ids(tokenizer_json, wide, whole, end, False)
     for batch in batches:
         for part in by_bytes(batch, "_text"):
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("shard"), ids.of(part.column("_text"))], ["key", "shard", "ids"])
@@ -321,6 +337,26 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterato
         yield batch.slice(start)
 
 
+def token_count(text: Column, tokenizer_json: str, end: int = END, special: bool = False) -> Column:
+    """Number of ids of a whole text with its end id; null and empty texts count 1."""
+    spec = json.loads(tokenizer_json)
+    bits, whole = id_bits(spec, end), not drops_white_space(spec)
+    held = SparkSession.active().sparkContext.broadcast(tokenizer_json)
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids = _text_ids(held.value, bits > 16, whole, end, special)
+        for texts in batches:
+            parts = by_bytes(pa.RecordBatch.from_arrays([texts], ["_text"]), "_text")
+            yield pa.array(np.concatenate([np.empty(0, np.int64), *(ids.lengths(p.column("_text")) for p in parts)]), pa.int64())
+
+    return F.arrow_udf(count, "long")(text.cast("string"))
+
+
+def id_bits(spec: dict, end: int) -> int:
+    """Bits that hold every id of a tokenizer, and the end id."""
+    return max(1, max([end, *spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))]).bit_length())
+
+
 def _written(batches: Iterator[pd.DataFrame], folder: str, bits: int, wide: bool, segment: int) -> Iterator[pd.DataFrame]:
     """Rows come sorted by shard and key; writes a file whenever a shard ends or a segment is full."""
     shard, seg, held, keys, size, done = None, 0, [], [], 0, []
@@ -354,9 +390,8 @@ def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc
     their ids. Null and empty texts are the end id alone. An empty table writes nothing.
     """
     spec = json.loads(tokenizer_json)
-    top = max([end, *spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))])
     whole = not drops_white_space(spec)
-    bits = max(1, top.bit_length())
+    bits = id_bits(spec, end)
     wide = bits > 16
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("_text"))
     lo, hi = rows.agg(F.min("key"), F.max("key")).first()

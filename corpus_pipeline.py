@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import mixing, neardup, packing, pii, quality
+from aerolith.llm import mixing, neardup, packing, pii, quality, wavelet
 from aerolith.llm.common import table, word_count, workspace
-from aerolith.llm.queries import SECRET
+from aerolith.llm.queries import SECRET, tokenizer_json
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and place of every row."""
-    packed = packing.pack(docs, "doc_id", word_count(docs["text"]) + 1)
+    """Bucket, batch and place of every row, by its number of tokens."""
+    packed = packing.pack(docs, "doc_id", wavelet.token_count(docs["text"], tokenizer_json(), special=True))
     return packed.withColumnRenamed("key", "doc_id").withColumnRenamed("length", "n_tokens")
 
 
