@@ -34,18 +34,21 @@ FAMILY = {"latin": (tuple("bdfgklmnprstvwz"), tuple("aeiou")), "cyrillic": (tupl
 LOCAL = r"[\p{L}\p{M}\p{N}._%+\-]"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME_WORD = r"\p{Lu}[\p{L}\p{M}'’\-]+"
+#: What may stand before a word of a name: lower-case particles and initials.
+PARTICLE = r"(?:van(?: de[rn]?)?|von(?: und zu| de[rmn])?|de(?: l[ao]s?)?|del|della|dei|di|da|dos?|du|ter|ten|bin|ibn|al|el|y)"
+BEFORE = rf"(?:(?:{PARTICLE}|\p{{Lu}}\.?) )*+"
 #: What counts as a mention, the first that fits; each starts where no longer one could.
 PATTERNS = {
     "email": rf"(?<!{LOCAL}){LOCAL}++@[\p{{L}}\p{{N}}\-]+(?:\.[\p{{L}}\p{{N}}\-]+)+",
-    "hex": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d.\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?![\d\-])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(x for v in HONORIFICS.values() for x in v)})\.? {NAME_WORD}(?: {NAME_WORD})?",
+    "name": rf"(?<![\p{{L}}])(?:{'|'.join(x for v in HONORIFICS.values() for x in v)})\.? {BEFORE}{NAME_WORD}(?: {BEFORE}{NAME_WORD})*+",
 }
 #: A text without any of these holds no mention.
-GATE = rf"[0-9@]|(?:{'|'.join(x for v in HONORIFICS.values() for x in v)})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|(?:{'|'.join(x for v in HONORIFICS.values() for x in v)})\.? (?:\p{{Lu}}|{PARTICLE} )"
 
 
 def any_pattern() -> str:
@@ -62,12 +65,17 @@ def kind_of(m: Column) -> Column:
     return kind
 
 
+def merged(kind: Column) -> Column:
+    """Names are one kind whatever gender their honorific tells."""
+    return F.when(kind.startswith("name"), "name").otherwise(kind)
+
+
 def normal_form(m: Column, kind: Column) -> Column:
     """What mentions of one thing have in common."""
     return (
         F.when(kind.isin("email", "hex"), F.lower(m))
         .when(kind == "ip", m)
-        .when(kind.startswith("name"), F.regexp_replace(m, r"^\S+ ", ""))
+        .when(kind.startswith("name"), F.lower(F.regexp_replace(m, r"^\S+ ", "")))
         .otherwise(F.regexp_replace(m, r"[^0-9]", ""))
     )
 
@@ -95,6 +103,7 @@ def disguised(text: Column, digest: Column) -> Column:
 
 
 def _name(norm: Column, gender: str, seed: Column) -> Column:
+    """A lower-case name, with a given name if the normal form has more than a word."""
     parts = F.split(norm, " ")
     last, two = F.element_at(parts, -1), F.size(parts) > 1
     by_script = []
@@ -104,7 +113,7 @@ def _name(norm: Column, gender: str, seed: Column) -> Column:
         consonants, vowels = FAMILY[script]
         pick = lambda names, b: F.get(F.array(*map(F.lit, names)), b % len(names))
         sounds = F.concat(*[pick(s, byte_at(family, 2 * i + j)) for i in range(4) for j, s in enumerate((consonants, vowels))])
-        by_script.append(F.concat(F.when(two, F.concat(pick(GIVEN[script, gender], byte_at(given, 0)), F.lit(" "))).otherwise(""), F.initcap(sounds)))
+        by_script.append(F.concat(F.when(two, F.concat(F.lower(pick(GIVEN[script, gender], byte_at(given, 0))), F.lit(" "))).otherwise(""), sounds))
     return F.when(norm.rlike(r"\p{IsCyrillic}"), by_script[0]).otherwise(by_script[1])
 
 
@@ -139,8 +148,10 @@ def rendered(m: Column, kind: Column, shape: Column) -> Column:
         digit = c.rlike(r"^\d$")
         return F.struct(F.concat(a["out"], F.when(digit, F.substring(shape, a["k"], F.lit(1))).otherwise(c)).alias("out"), (a["k"] + digit.cast("int")).alias("k"))
 
+    title, name = F.regexp_extract(m, r"^\S+ ", 0), F.regexp_replace(m, r"^\S+ ", "")
+    named = F.concat(title, F.when((F.upper(name) == name) & (F.lower(name) != name), F.upper(shape)).otherwise(F.initcap(shape)))
     filled = F.aggregate(F.split(m, ""), start, step, lambda a: a["out"])
-    return F.when(kind.isin("email", "hex"), cased).when(kind == "ip", shape).when(kind.startswith("name"), F.concat(F.regexp_extract(m, r"^\S+ ", 0), shape)).otherwise(filled)
+    return F.when(kind.isin("email", "hex"), cased).when(kind == "ip", shape).when(kind.startswith("name"), named).otherwise(filled)
 
 
 def surrogate_table(entities: DataFrame, secret: str, most_draws: int = 50) -> DataFrame:
@@ -168,7 +179,8 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
 
     Other columns stay. Null texts stay null and hold no mentions. Repeated rows are rewritten alike.
     An empty table gives an empty result. The same secret gives the same surrogates
-    (unless new originals take one up).
+    (unless new originals take one up, or new mentions of a name tell another gender).
+    A name is one entity under all its honorifics, in any case; its gender is the one they tell.
     """
     h, found, swaps, count = fresh(docs, "_row", "_found", "_swaps", "n_entities")
     pattern = any_pattern()
@@ -176,7 +188,11 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
     held = docs.where(gated).withColumn(h, row_hash(docs[key], docs[text]))
     mentions = held.select(F.col(h).alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("m"))
     mentions = settle(mentions.distinct().withColumn("kind", kind_of(F.col("m"))).withColumn("norm", normal_form(F.col("m"), F.col("kind"))))
-    table = surrogate_table(mentions, secret)
+    # a name's mentions tell one gender, or none or both: then it is neutral
+    told = mentions.groupBy(merged(F.col("kind")).alias("kind"), "norm").agg(F.bool_or(F.col("kind") == "name_m").alias("m"), F.bool_or(F.col("kind") == "name_f").alias("f"))
+    kind = F.when(F.col("kind") != "name", F.col("kind")).when(F.col("m") & ~F.col("f"), "name_m").when(F.col("f") & ~F.col("m"), "name_f").otherwise("name_n")
+    table = surrogate_table(told.select(kind.alias("kind"), "norm"), secret).withColumn("kind", merged(F.col("kind")))
+    mentions = mentions.withColumn("kind", merged(F.col("kind")))
     swapped = mentions.join(table, ["kind", "norm"]).select("row", "m", rendered(F.col("m"), F.col("kind"), F.col("shape")).alias("s"))
     by_row = swapped.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("m", "s"))).alias(swaps)).withColumnRenamed("row", h)
     joined = held.join(by_row, h, "left").withColumn(found, F.when(F.col(swaps).isNotNull(), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))

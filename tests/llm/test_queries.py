@@ -1,11 +1,12 @@
 """Registered queries, called as the driver calls them, against plain Python."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
-from aerolith.llm import packing, queries
+from aerolith.llm import packing, pii, queries
 
 from llm_cases import frame, odd_rows
 
@@ -14,6 +15,13 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose tokens are many and whose words are one or few.
 DENSE = [(800, "日本語" * 40_000, "a"), (801, "QmFzZTY0" * 4_000, "a"), (802, "a <|endoftext|> b", "b"), (803, "x9" * 300, "b"), (804, "x9" * 300, "b")]
+#: Names of many words, in several cases and under several honorifics, and long secrets.
+PRIVATE = [
+    (820, "Dr Anna Maria Schmidt wrote to Herr Ludwig van Beethoven, Frau von der Leyen and Mr. J. R. Tolkien. The end", "a"),
+    (821, "Mr. Smith met Mr. SMITH; Dr Jane Austen is Mrs Jane Austen", "a"),
+    (822, "key " + "0123456789abcdef" * 8 + "0 and " + "ABCDEF0123" * 3_000 + " end", "b"),
+    (823, "Mr " + "Longname " * 20_000 + "end", "b"),
+]
 
 
 def tokens(text):
@@ -26,12 +34,12 @@ def tokens(text):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
-    frame(spark, [*odd_rows(), *DENSE]).select(COLUMNS).write.parquet(str(path / "documents.parquet"))
+    frame(spark, [*odd_rows(), *DENSE, *PRIVATE]).select(COLUMNS).write.parquet(str(path / "documents.parquet"))
     return str(path)
 
 
 def test_packing_counts_tokens(spark, folder):
-    want = Counter((i, tokens(t)) for i, t, _ in [*odd_rows(), *DENSE])
+    want = Counter((i, tokens(t)) for i, t, _ in [*odd_rows(), *DENSE, *PRIVATE])
     assert tokens(DENSE[0][1]) > packing.TOKENS
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for rows in (queries.op10_length_packing(spark, folder).collect(), corpus_pipeline.pack_batches(spark, docs, folder).collect()):
@@ -42,3 +50,15 @@ def test_packing_counts_tokens(spark, folder):
         for g in batches.values():
             assert sum(r["n_tokens"] + r["padding"] for r in g) <= packing.TOKENS or len(g) == 1
         assert [len(g) for g in batches.values() if any(r["doc_id"] == 800 for r in g)] == [1]
+
+
+def test_surrogates_of_whole_mentions(spark, folder):
+    rows = {r["doc_id"]: r for r in queries.op6_pii_surrogates(spark, folder).collect()}
+    name = r"[A-Z][a-z]+ [A-Z][a-z]+"
+    assert re.fullmatch(rf"Dr {name} wrote to Herr {name}, Frau {name} and Mr\. {name}\. The end", rows[820]["text"]) and rows[820]["n_entities"] == 4
+    assert not re.search("Anna|Maria|Schmidt|Ludwig|van|Beethoven|Leyen|Tolkien", rows[820]["text"])
+    a, b, c, d = re.fullmatch(rf"Mr\. (\w+) met Mr\. (\w+); Dr ({name}) is Mrs ({name})", rows[821]["text"]).groups()
+    assert a != "Smith" and b == a.upper() and c == d != "Jane Austen" and c.split()[0] in pii.GIVEN["latin", "f"]
+    short, long = re.fullmatch("key ([0-9a-f]+) and ([0-9A-F]+) end", rows[822]["text"]).groups()
+    assert (len(short), len(long)) == (129, 30_000) and "0123456789abcdef" not in short and "ABCDEF0123" not in long
+    assert "Longname" not in rows[823]["text"] and rows[823]["n_entities"] == 1
