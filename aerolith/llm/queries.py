@@ -61,7 +61,7 @@ def tokenizer_json(tokenizer: str | None = None) -> str:
 
 
 def op7_wavelet_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return wavelet.round_trip(table(spark, sf_dir, "documents"), tokenizer_json(tokenizer)).withColumnRenamed("key", "doc_id")
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), tokenizer_json(tokenizer), special=True).withColumnRenamed("key", "doc_id")
 
 
 def op8_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,8 +317,8 @@ def _text_ids(tokenizer_json: str, wide: bool, whole: bool, end: int, special: b
     return held[name] if name in held else held.setdefault(name, TextIds(tokenizer_json, np.uint32 if wide else np.uint16, whole, end, special))
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer_json: str, wide: bool, whole: bool, end: int) -> Iterator[pa.RecordBatch]:
-    ids = _text_ids(tokenizer_json, wide, whole, end, False)
+def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer_json: str, wide: bool, whole: bool, end: int, special: bool) -> Iterator[pa.RecordBatch]:
+    ids = _text_ids(tokenizer_json, wide, whole, end, special)
     for batch in batches:
         for part in by_bytes(batch, "_text"):
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("shard"), ids.of(part.column("_text"))], ["key", "shard", "ids"])
@@ -383,11 +383,12 @@ def _written(batches: Iterator[pd.DataFrame], folder: str, bits: int, wide: bool
     yield pd.DataFrame(done, columns=["shard", "seg", "file", "n_tokens", "n_docs"])
 
 
-def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END, segment: int = SEGMENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END, segment: int = SEGMENT, shard_bytes: int = SHARD_BYTES, special: bool = False) -> DataFrame:
     """Write the ids of every whole text in ascending key order; returns the manifest (shard, seg, file, n_tokens, n_docs).
 
     The key is a whole number; null keys come last, and rows with equal keys are in order of
     their ids. Null and empty texts are the end id alone. An empty table writes nothing.
+    special: see TextIds.
     """
     spec = json.loads(tokenizer_json)
     whole = not drops_white_space(spec)
@@ -407,7 +408,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc
         shard_of[k], held = shard, held + w
     rows = rows.withColumn("shard", F.get(F.array(*map(F.lit, shard_of)), at(F.col("key"))))
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    ids = rows.select("key", "shard", "_text").mapInArrow(lambda b: _tokenised(b, held.value, wide, whole, end), "key long, shard int, ids binary")
+    ids = rows.select("key", "shard", "_text").mapInArrow(lambda b: _tokenised(b, held.value, wide, whole, end, special), "key long, shard int, ids binary")
     placed = ids.repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "ids")
     return settle(placed.mapInPandas(lambda b: _written(b, folder, bits, wide, segment), "shard int, seg int, file string, n_tokens long, n_docs long"))
 
@@ -449,6 +450,6 @@ def locate(manifest: DataFrame, token: int) -> DataFrame:
     return manifest.select("file").mapInPandas(look, "file string, n long, first_at long")
 
 
-def round_trip(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     folder = workspace(docs.sparkSession, "wavelet")
-    return read_ids(write_ids(docs, tokenizer_json, folder, key, text))
+    return read_ids(write_ids(docs, tokenizer_json, folder, key, text, special=special))

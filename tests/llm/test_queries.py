@@ -1,8 +1,11 @@
 """Registered queries, called as the driver calls them, against plain Python."""
 
+import functools
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -14,7 +17,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose tokens are many and whose words are one or few.
-DENSE = [(800, "日本語" * 40_000, "a"), (801, "QmFzZTY0" * 4_000, "a"), (802, "a <|endoftext|> b", "b"), (803, "x9" * 300, "b"), (804, "x9" * 300, "b")]
+DENSE = [(800, "日本語" * 40_000, "a"), (801, "QmFzZTY0" * 4_000, "a"), (802, "a <|endoftext|> b", "b"), (805, "x<|startoftext|>y<|ENDOFTEXT|>,<|endoftext|>", "b"), (803, "x9" * 300, "b"), (804, "x9" * 300, "b")]
 #: Names of many words, in several cases and under several honorifics, and long secrets.
 PRIVATE = [
     (820, "Dr Anna Maria Schmidt wrote to Herr Ludwig van Beethoven, Frau von der Leyen and Mr. J. R. Tolkien. The end", "a"),
@@ -24,11 +27,21 @@ PRIVATE = [
 ]
 
 
-def tokens(text):
+@functools.cache
+def ids(text):
+    """Ids of a whole text by the library's defaults, with the end id."""
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
+
+
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = tokens.held = getattr(tokens, "held", None) or Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    return len(t.encode(text or "", add_special_tokens=False).ids) + 1
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def tokens(text):
+    return len(ids(text))
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +75,14 @@ def test_surrogates_of_whole_mentions(spark, folder):
     short, long = re.fullmatch("key ([0-9a-f]+) and ([0-9A-F]+) end", rows[822]["text"]).groups()
     assert (len(short), len(long)) == (129, 30_000) and "0123456789abcdef" not in short and "ABCDEF0123" not in long
     assert "Longname" not in rows[823]["text"] and rows[823]["n_entities"] == 1
+
+
+def test_ids_by_the_defaults(spark, folder):
+    rows = sorted(((i, ids(t)) for i, t, _ in [*odd_rows(), *DENSE, *PRIVATE]), key=lambda r: (r[0] is None, r[0] or 0, np.array(r[1], np.uint16).tobytes()))
+    want, start = Counter(), 0
+    for k, x in rows:
+        want[k, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())] += 1
+        start += len(x)
+    assert ids("a <|endoftext|> b") == [320, 49407, 321, 1]
+    got = queries.op7_wavelet_ids(spark, folder).collect()
+    assert Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
