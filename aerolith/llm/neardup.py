@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact shingle sets decide.
+"""N-gram Jaccard join: MinHash banding finds candidates, exact shingle sets decide.
 
 A document is the set of its five-word shingles (fewer words: one shingle of all of them).
-Equal sets collapse first. Each of TREES tries holds DEPTH min-hashes a document; a trie's
-prefixes are shortened from DEPTH down to the longest length at which a pair at the
-threshold meets in some trie with the target recall. Documents that share such a prefix
-are a run. Inside runs, signatures are compared tile by tile; what is close enough makes
+Equal sets collapse first. Each of TREES bands holds DEPTH min-hashes a document, of which
+the first few are its key: as many as let a pair at the threshold meet in some band with
+the target recall, a number that the constants fix (5). This is no LSH forest: nothing is
+shortened against the data. Documents that share such a key are a run. Inside runs, signatures are compared tile by tile; what is close enough makes
 candidate groups, and inside a group all pairs are verified exactly, again tile by tile.
 A tile pair gives counts and spanning links, so rows stay linear in the size of a group.
 """
