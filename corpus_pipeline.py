@@ -44,7 +44,7 @@ STAGES = [
     ("source mixing", mix_sources),
     ("packing", pack_batches),
 ]
-#: Min-hashing, surrogates and the bucket program are beyond SQL; tests/llm holds the stages against brute force.
+#: Min-hashing, surrogates and the bucket program are beyond SQL; tests/llm holds the stages against properties, and their functions against brute force.
 ORACLE_SQL = None
 
 

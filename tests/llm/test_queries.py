@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -12,6 +13,8 @@ import corpus_pipeline
 from aerolith.llm import packing, pii, queries
 
 from llm_cases import frame, odd_rows
+from test_native import WORD, brute_targets
+from test_text import brute_classes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -86,3 +89,31 @@ def test_ids_by_the_defaults(spark, folder):
     assert ids("a <|endoftext|> b") == [320, 49407, 321, 1]
     got = queries.op7_wavelet_ids(spark, folder).collect()
     assert Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
+@pytest.mark.parametrize("data", ["odd", "/root/testdata/sf0.01"])
+def test_ledger_by_sql(spark, folder, data):
+    data = folder if data == "odd" else data
+    con = duckdb.connect()
+    files = f"{data}/documents.parquet" + ("/*.parquet" if data == folder else "")
+    con.execute(f"create view documents as select * from read_parquet('{files}')")
+    cursor = con.execute(queries.oracle_sql()["op9_rule_ledger"])
+    columns = [x[0] for x in cursor.description]
+    df = queries.op9_rule_ledger(spark, data)
+    assert df.columns == columns
+    assert Counter(map(tuple, df.collect())) == Counter(cursor.fetchall())
+
+
+def test_joins_shards_and_mixes_by_name(spark, folder):
+    rows = [*odd_rows(), *DENSE, *PRIVATE]
+    found = queries.op2_jaccard_join(spark, folder).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == brute_classes(rows)
+    placed = queries.op3_hilbert_sharding(spark, folder).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in placed) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    want, taken = brute_targets(dict(sizes)), Counter()
+    for r in queries.op4_source_mixing(spark, folder).collect():
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == int(want[s] + 1e-6) for s in want)
