@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.grid import densified
 from aerolith.operators.surfaces import colour_means, footprint, nearest_filled
+from aerolith.plans.storage import settle
 from aerolith.schema import ConfigurationError, GridSpec, need
 
 INDICES = ("VARI", "GLI", "TGI", "EXG", "NGRDI")
@@ -14,11 +15,12 @@ INDICES = ("VARI", "GLI", "TGI", "EXG", "NGRDI")
 
 def orthomosaic(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2, alpha: bool = False, contrast: bool = False) -> DataFrame:
     """Colours of the footprint, gaps from the nearest cell; 0 outside; alpha 255 inside."""
-    full = densified(colour_means(points, spec).select("row", "col", F.struct("r", "g", "b").alias("_rgb")), spec)
-    full = nearest_filled(full, "_rgb", "_rgb")
-    inside = footprint(points, spec, buffer, step).withColumn("_in", F.lit(True))
+    inside = settle(footprint(points, spec, buffer, step).withColumn("_in", F.lit(True)))
+    packed = colour_means(points, spec).select("row", "col", ((F.col("r") * 256 + F.col("g")) * 256 + F.col("b")).cast("long").alias("_rgb"))
+    full = nearest_filled(densified(packed, spec), "_rgb", "_rgb", inside)
     full = full.join(inside, ["row", "col"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    out = full.select("row", "col", "_in", *[F.when(F.col("_in"), F.col("_rgb")[c]).otherwise(0).alias(c) for c in "rgb"])
+    band = lambda shift: F.shiftright("_rgb", shift).bitwiseAND(255).cast("int")
+    out = full.select("row", "col", "_in", *[F.when(F.col("_in"), band(s)).otherwise(0).alias(c) for c, s in (("r", 16), ("g", 8), ("b", 0))])
     if contrast:
         out = stretched(out, ["r", "g", "b"], F.col("_in"))
     return out.select("row", "col", "r", "g", "b", *([F.when(F.col("_in"), 255).otherwise(0).alias("a")] if alpha else []))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.graph import filled_holes
 from aerolith.functions.grid import binned, cells, centre, dense, densified
-from aerolith.functions.knn import idw, nearest
+from aerolith.functions.knn import idw, nearest, nearest_cells
 from aerolith.functions.stencil import dilated_square, gaussian_weights, smooth
 from aerolith.plans.storage import settle
 from aerolith.schema import GridSpec, need, same_grid
@@ -31,24 +31,27 @@ def highest(points: DataFrame, spec: GridSpec) -> DataFrame:
     return cells(points, spec, F.max("z").alias("z"))
 
 
-def nearest_filled(raster: DataFrame, value: str = "z", out: str = "z", reach: int = 2) -> DataFrame:
-    """A dense raster whose null cells take the value of the nearest cell that has one (ties: least row, then col)."""
-    raster = settle(raster)
-    nodes = raster.where(F.col(value).isNotNull()).select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "row", "col", F.col(value).alias("_value"))
-    asked = raster.where(F.col(value).isNull()).select("row", "col", F.col("col").cast("double").alias("qx"), F.col("row").cast("double").alias("qy"))
-    nodes = nodes.withColumnRenamed("row", "_row").withColumnRenamed("col", "_col")
-    found = nearest(asked, nodes, ["row", "col"], 1, 1.0, F.col("_value"), ["_row", "_col"], reach)
-    fill = found.select("row", "col", F.get("near", F.lit(0))["value"].alias("_fill"))
-    return raster.join(fill, ["row", "col"], "left").withColumn(out, F.coalesce(value, "_fill")).drop("_fill")
+def nearest_filled(raster: DataFrame, value: str = "z", out: str = "z", only: DataFrame | None = None) -> DataFrame:
+    """A dense raster whose null cells take the number of the nearest cell that has one (ties: least row, then col).
+
+    only: rows and columns of the cells to fill; others stay null.
+    """
+    raster = settle(raster if only is None else raster.join(only.select("row", "col", F.lit(True).alias("_only")), ["row", "col"], "left"))
+    wanted = F.lit(True) if only is None else F.coalesce("_only", F.lit(False))
+    fill = nearest_cells(raster, value, wanted).withColumnRenamed(value, "_fill")
+    return raster.join(fill, ["row", "col"], "left").withColumn(out, F.coalesce(value, F.col("_fill").cast(raster.schema[value].dataType))).drop("_fill", "_only")
 
 
 def surface_model(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2, sigma: float = 1.0) -> DataFrame:
     """Highest return in each cell; gaps in the footprint from the smoothed nearest-filled surface; null outside."""
-    raw = settle(densified(highest(points, spec), spec))
-    full = nearest_filled(raw.withColumnRenamed("z", "raw"), "raw", "_smooth")
-    full = smooth(full, "_smooth", gaussian_weights(sigma), spec.height, spec.width)
-    inside = footprint(points, spec, buffer, step).withColumn("_in", F.lit(True))
-    return full.join(inside, ["row", "col"], "left").select("row", "col", F.when(F.col("_in"), F.coalesce("raw", "_smooth")).alias("z"))
+    weights = gaussian_weights(sigma)
+    inside = settle(footprint(points, spec, buffer, step).withColumn("_in", F.lit(True)))
+    raw = densified(highest(points, spec), spec).withColumnRenamed("z", "raw").join(inside, ["row", "col"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    # what the smoothing of a gap sees: the footprint and a rim as wide as the filter
+    rim = settle(dilated_square(raw.withColumn("_rim", F.col("_in")), "_rim", len(weights) // 2))
+    full = nearest_filled(rim, "raw", "_smooth", rim.where("_rim").select("row", "col")).withColumn("_smooth", F.coalesce("_smooth", F.lit(0.0)))
+    full = smooth(full, "_smooth", weights, spec.height, spec.width)
+    return full.select("row", "col", F.when(F.col("_in"), F.coalesce("raw", "_smooth")).alias("z"))
 
 
 def ground_points(points: DataFrame, ground: int = 2) -> DataFrame:

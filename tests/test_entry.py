@@ -35,7 +35,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.SQL) - {"flow_accum", "streams", "twi", "spi", "sti", "contour_segments"}))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_rows(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     cursor = duck.execute(registry.SQL[name])

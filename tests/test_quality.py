@@ -11,7 +11,7 @@ from aerolith.operators import quality as qc
 from aerolith.operators import rectify
 from aerolith.schema import ControlPointError, GridSpec
 
-from conftest import as_array, as_raster, dem_array
+from survey_cases import as_array, as_raster, dem_array
 
 
 def survey(spark, n=4000, size=100.0, bias=0.0):

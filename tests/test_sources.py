@@ -12,7 +12,7 @@ from aerolith.schema import ConfigurationError, ControlPointError, FormatError,
 from aerolith.sources import crs, geotiff, las, rasters, vector
 from aerolith.streaming import strips
 
-from conftest import as_array, as_raster, dem_array
+from survey_cases import as_array, as_raster, dem_array
 
 
 def test_las_round_trip(spark, cloud_arrays, tmp_path):

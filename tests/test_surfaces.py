@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from aerolith.functions.graph import components, filled_holes, subtree_sizes
@@ -8,7 +11,7 @@ from aerolith.operators import imagery, surfaces
 from aerolith.schema import ConfigurationError, GridMismatchError, GridSpec
 from pyspark.sql import functions as F
 
-from conftest import as_array, as_raster
+from survey_cases import as_array, as_raster
 
 
 def test_binning_matches_numpy(cloud, cloud_arrays):
@@ -45,6 +48,34 @@ def test_nearest_is_exact(spark, bucket):
     assert len(got) == len(ask)
 
 
+def test_wide_voids(spark):
+    """A 500 x 500 void in a raster, and a terrain model over a hole in the ground, against plain numpy."""
+    n, a, b = 510, 5, 505
+    size = spark.range(n * n).select(F.expr(f"id div {n}").alias("row"), (F.col("id") % n).alias("col"))
+    inside = F.col("row").between(a, b - 1) & F.col("col").between(a, b - 1)
+    raster = size.withColumn("z", F.when(~inside, (F.col("row") * n + F.col("col")).cast("double")))
+    began = time.perf_counter()
+    got = as_array(surfaces.nearest_filled(raster), "z", (n, n))
+    assert time.perf_counter() - began < 60
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:n, 0:n]
+    ring = (y < a) | (y >= b) | (x < a) | (x >= b)
+    ys, xs = y[ring], x[ring]
+    for r, c in rng.integers(a, b, (300, 2)):
+        d = (ys - r) ** 2 + (xs - c) ** 2
+        k = np.lexsort((xs, ys, d))[0]
+        assert got[r, c] == ys[k] * n + xs[k]
+    pts = rng.uniform(0, 300, (12_000, 2))
+    pts = np.round(pts[(np.abs(pts - 150) > 100).any(1)], 2)
+    nodes = spark.createDataFrame(pd.DataFrame({"pid": np.arange(len(pts)), "x": pts[:, 0], "y": pts[:, 1], "v": np.arange(len(pts)) * 1.0}))
+    asked = spark.range(150 * 150).select("id", ((F.col("id") % 150) * 2.0).alias("qx"), (F.expr("id div 150") * 2.0).alias("qy"))
+    near = {r["id"]: [s["value"] for s in r["near"]] for r in nearest(asked, nodes, ["id"], 8, 1.0, F.col("v"), ["pid"]).collect()}
+    assert len(near) == 150 * 150
+    for i in rng.integers(0, 150 * 150, 300):
+        d = (pts[:, 0] - (i % 150) * 2.0) ** 2 + (pts[:, 1] - (i // 150) * 2.0) ** 2
+        assert near[i] == np.lexsort((np.arange(len(pts)), d))[:8].tolist()
+
+
 def test_idw_weights(spark):
     df = spark.sql("select array(named_struct('d2', 1.0D, 'value', 10.0D), named_struct('d2', 4.0D, 'value', 20.0D)) near")
     assert df.select(idw(F.col("near"))).first()[0] == pytest.approx((10 + 20 / 4) / 1.25)

@@ -8,7 +8,7 @@ from aerolith.functions.stencil import box3, dilated_diamond, dilated_square, ga
 from aerolith.operators import hydro, profile, terrain
 from aerolith.schema import ConfigurationError, GridSpec
 
-from conftest import as_array, as_raster, dem_array
+from survey_cases import as_array, as_raster, dem_array
 
 H = W = 40
 SPEC = GridSpec(500000.0, 5200100.0, 1.0, 1.0, W, H)
