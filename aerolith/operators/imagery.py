@@ -15,8 +15,9 @@ INDICES = ("VARI", "GLI", "TGI", "EXG", "NGRDI")
 
 def orthomosaic(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2, alpha: bool = False, contrast: bool = False) -> DataFrame:
     """Colours of the footprint, gaps from the nearest cell; 0 outside; alpha 255 inside."""
-    inside = settle(footprint(points, spec, buffer, step).withColumn("_in", F.lit(True)))
-    packed = colour_means(points, spec).select("row", "col", ((F.col("r") * 256 + F.col("g")) * 256 + F.col("b")).cast("long").alias("_rgb"))
+    found = settle(colour_means(points, spec))
+    inside = settle(footprint(points, spec, buffer, step, found).withColumn("_in", F.lit(True)))
+    packed = found.select("row", "col", ((F.col("r") * 256 + F.col("g")) * 256 + F.col("b")).cast("long").alias("_rgb"))
     full = nearest_filled(densified(packed, spec), "_rgb", "_rgb", inside)
     full = full.join(inside, ["row", "col"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     band = lambda shift: F.shiftright("_rgb", shift).bitwiseAND(255).cast("int")

@@ -15,10 +15,13 @@ from aerolith.plans.storage import settle
 from aerolith.schema import GridSpec, need, same_grid
 
 
-def footprint(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2) -> DataFrame:
-    """The cells flown over: presence on a coarser grid, widened by the buffer, holes filled."""
+def footprint(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2, found: DataFrame | None = None) -> DataFrame:
+    """The cells flown over: presence on a coarser grid, widened by the buffer, holes filled.
+
+    found: the cells that hold points, where they are known, so that the cloud is not read again.
+    """
     height, width = spec.height // step + 1, spec.width // step + 1
-    seen = binned(points, spec).select(F.expr(f"row div {step}L").alias("row"), F.expr(f"col div {step}L").alias("col")).distinct()
+    seen = (binned(points, spec) if found is None else found).select(F.expr(f"row div {step}L").alias("row"), F.expr(f"col div {step}L").alias("col")).distinct()
     coarse = GridSpec(spec.min_x, spec.max_y, spec.res_x * step, spec.res_y * step, width, height, spec.epsg)
     mask = densified(seen.withColumn("inside", F.lit(True)), coarse).withColumn("inside", F.coalesce("inside", F.lit(False)))
     mask = dilated_square(mask, "inside", max(1, math.ceil(buffer / (spec.res_x * step))))
@@ -45,8 +48,9 @@ def nearest_filled(raster: DataFrame, value: str = "z", out: str = "z", only: Da
 def surface_model(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2, sigma: float = 1.0) -> DataFrame:
     """Highest return in each cell; gaps in the footprint from the smoothed nearest-filled surface; null outside."""
     weights = gaussian_weights(sigma)
-    inside = settle(footprint(points, spec, buffer, step).withColumn("_in", F.lit(True)))
-    raw = densified(highest(points, spec), spec).withColumnRenamed("z", "raw").join(inside, ["row", "col"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    top = settle(highest(points, spec))
+    inside = settle(footprint(points, spec, buffer, step, top).withColumn("_in", F.lit(True)))
+    raw = densified(top, spec).withColumnRenamed("z", "raw").join(inside, ["row", "col"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     # what the smoothing of a gap sees: the footprint and a rim as wide as the filter
     rim = settle(dilated_square(raw.withColumn("_rim", F.col("_in")), "_rim", len(weights) // 2))
     full = nearest_filled(rim, "raw", "_smooth", rim.where("_rim").select("row", "col")).withColumn("_smooth", F.coalesce("_smooth", F.lit(0.0)))
@@ -69,8 +73,12 @@ def ground_nodes(points: DataFrame, spec: GridSpec, ground: int = 2) -> DataFram
 
 def terrain_model(points: DataFrame, spec: GridSpec, k: int = 8, ground: int = 2, buffer: float = 3.0, step: int = 2, inside: DataFrame | None = None) -> DataFrame:
     """Inverse-distance mean of the k nearest ground nodes at each centre of the footprint."""
-    nodes = ground_nodes(points, spec, ground)
-    inside = footprint(points, spec, buffer, step) if inside is None else inside
+    need(points, "classification")
+    place, is_ground = F.struct("x", "y", "z", "pid"), F.col("classification") == ground
+    found = settle(cells(points, spec, F.min_by(place, "pid").alias("any"), F.min_by(F.when(is_ground, place), F.when(is_ground, F.col("pid"))).alias("ground")))
+    some = "any" if found.where("ground IS NOT NULL").isEmpty() else "ground"
+    nodes = found.where(F.col(some).isNotNull()).select("row", "col", f"{some}.pid", f"{some}.x", f"{some}.y", f"{some}.z")
+    inside = footprint(points, spec, buffer, step, found) if inside is None else inside
     x, y = centre(spec)
     asked = inside.select("row", "col", x.alias("qx"), y.alias("qy"))
     near = nearest(asked, nodes, ["row", "col"], k, spec.res_x, F.col("z"), ["pid"])
@@ -102,8 +110,9 @@ def colour_means(points: DataFrame, spec: GridSpec) -> DataFrame:
 
 def colour_grid(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2) -> DataFrame:
     """Colour means in the footprint; 0 elsewhere and where a cell of it has no points."""
-    inside = footprint(points, spec, buffer, step).withColumn("_in", F.lit(True))
-    full = densified(colour_means(points, spec), spec).join(inside, ["row", "col"], "left")
+    found = settle(colour_means(points, spec))
+    inside = footprint(points, spec, buffer, step, found).withColumn("_in", F.lit(True))
+    full = densified(found, spec).join(inside, ["row", "col"], "left")
     return full.select("row", "col", *[F.when(F.col("_in"), F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c) for c in "rgb"])
 
 
@@ -113,5 +122,6 @@ def intensity_means(points: DataFrame, spec: GridSpec) -> DataFrame:
 
 def intensity_grid(points: DataFrame, spec: GridSpec, buffer: float = 3.0, step: int = 2) -> DataFrame:
     """Mean intensity; 0 in cells of the footprint without points, null outside."""
-    inside = footprint(points, spec, buffer, step)
-    return inside.join(intensity_means(points, spec), ["row", "col"], "left").select("row", "col", F.coalesce("z", F.lit(0.0)).alias("z"))
+    found = settle(intensity_means(points, spec))
+    inside = footprint(points, spec, buffer, step, found)
+    return inside.join(found, ["row", "col"], "left").select("row", "col", F.coalesce("z", F.lit(0.0)).alias("z"))
