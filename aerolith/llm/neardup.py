@@ -1,12 +1,15 @@
-"""N-gram Jaccard join: MinHash banding finds candidates, exact shingle sets decide.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact shingle sets decide.
 
 A document is the set of its five-word shingles (fewer words: one shingle of all of them).
-Equal sets collapse first. Each of TREES bands holds DEPTH min-hashes a document, of which
-the first few are its key: as many as let a pair at the threshold meet in some band with
-the target recall, a number that the constants fix (5). This is no LSH forest: nothing is
-shortened against the data. Documents that share such a key are a run. Inside runs, signatures are compared tile by tile; what is close enough makes
-candidate groups, and inside a group all pairs are verified exactly, again tile by tile.
-A tile pair gives counts and spanning links, so rows stay linear in the size of a group.
+Equal sets collapse first. Each of TREES tries holds a path of DEPTH min-hashes a document. All paths
+are sorted, tree after tree, so the documents under a prefix are a run of neighbours in that order,
+whose length at every depth follows from where neighbours part. A matched prefix is shortened from the
+full path to where a pair at the threshold meets in some tree with the target recall, whatever
+else is there, and on from there, tree by tree, as long as no more than RUN documents share it: lone
+pairs meet on short prefixes, while large clusters, whose links hang together in any case, keep long ones.
+Inside runs, signatures are compared tile by tile; what is close enough makes candidate
+groups, and inside a group all pairs are verified exactly, again tile by tile. A tile pair
+gives counts and spanning links, so rows stay linear in the size of a group.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +32,17 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 TREES = 16
 DEPTH = 6
-RECALL = 0.995
+RECALL = 0.99
+#: Prefixes are shortened by at most so many min-hashes beyond the target recall, in runs of so many documents.
+BEYOND, RUN = 2, 64
+#: Rows of sorted paths that one task holds.
+PATHS = 400_000
 #: Pairs whose signatures agree less are not verified: four standard errors below the threshold.
 SLACK = 4.0
-TILE = 512
+#: Members of a tile that are verified, and whose signatures are compared.
+TILE, SIGNED = 1024, 4096
+#: Bytes of a tree's path: 16 bits a min-hash.
+PATH = 2 * DEPTH
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -73,23 +85,91 @@ def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pd.DataFrame], prefix: int) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHash()
     for pdf in batches:
         sets = [shingles(t, hashes) for t in pdf["_text"]]
         some = [i for i, s in enumerate(sets) if len(s)]
-        out = pdf.drop(columns=["_text"]).assign(fp=None, n=[len(s) for s in sets], sig=None, prefixes=None)
+        fp, sigs = [None] * len(sets), [None] * len(sets)
         if some:
-            sig = minhashes([sets[i] for i in some], TREES * DEPTH)
-            key = np.zeros((len(some), TREES), np.uint64)
-            for j in range(prefix):
-                key = mixed(key * np.uint64(0x100000001B3) + sig[:, j::DEPTH].astype(np.uint64) + np.uint64(1))
-            low, key = sig.astype(np.uint16), key.view(np.int64)
-            fp, sigs, keys = out["fp"].to_numpy(object, copy=True), out["sig"].to_numpy(object, copy=True), out["prefixes"].to_numpy(object, copy=True)
+            low = minhashes([sets[i] for i in some], TREES * DEPTH).astype(">u2")
             for r, i in enumerate(some):
-                fp[i], sigs[i], keys[i] = xxhash.xxh3_128_hexdigest(sets[i].tobytes()), low[r].tobytes(), key[r]
-            out = out.assign(fp=fp, sig=sigs, prefixes=keys)
-        yield out
+                fp[i], sigs[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), low[r].tobytes()
+        yield pdf.drop(columns=["_text"]).assign(fp=fp, n=[len(s) for s in sets], sig=sigs)
+
+
+def _column_bytes(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of binaries of one length as rows of bytes."""
+    x = batch.column(name)
+    return np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1)
+
+
+def _nodes(paths: np.ndarray, depth: int) -> np.ndarray:
+    """Where among sorted paths (a byte of the tree, then min-hashes) another prefix of this depth begins."""
+    cut = 1 + 2 * depth
+    return np.flatnonzero(np.concatenate([[True], (paths[1:, :cut] != paths[:-1, :cut]).any(1)]))
+
+
+def _ends(batches: Iterator[pa.RecordBatch], depths: range) -> Iterator[pa.RecordBatch]:
+    """One row for a part of the sorted paths: its ends, and how long the runs at its ends are at each depth."""
+    parts = [_column_bytes(b, "path") for b in batches if b.num_rows]
+    if parts:
+        paths = np.concatenate(parts)
+        at = [_nodes(paths, d) for d in depths]
+        lead, tail = [int(a[1]) if len(a) > 1 else len(paths) for a in at], [int(len(paths) - a[-1]) for a in at]
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [len(paths)], "first": [paths[0].tobytes()], "last": [paths[-1].tobytes()], "lead": [lead], "tail": [tail]})
+
+
+def outside(ends: list, depths: range) -> dict[int, tuple[list[int], list[int]]]:
+    """How far the first and the last run of each part go on in the parts before and after it, by depth."""
+    ends = sorted(ends, key=lambda r: r["part"])
+    out = {r["part"]: ([0] * len(depths), [0] * len(depths)) for r in ends}
+    for d, depth in enumerate(depths):
+        cut = 1 + 2 * depth
+        for side, walk, here, there, run in ((0, ends, "first", "last", "tail"), (1, ends[::-1], "last", "first", "lead")):
+            for before, now in zip(walk[:-1], walk[1:], strict=True):
+                if before[there][:cut] == now[here][:cut]:
+                    out[now["part"]][side][d] = before[run][d] + (out[before["part"]][side][d] if before[run][d] == before["n"] else 0)
+    return out
+
+
+def _shared(batches: Iterator[pa.RecordBatch], beyond: dict, depths: range, most: int) -> Iterator[pa.RecordBatch]:
+    """fp, node, m: the last of depths, or the shortest prefix that at most `most` documents share; lone paths are left out."""
+    parts = [(_column_bytes(b, "path"), _column_bytes(b, "fp")) for b in batches if b.num_rows]
+    if not parts:
+        return
+    paths, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+    before, after = beyond[TaskContext.get().partitionId()]
+    depth, m = np.zeros(len(paths), np.int32), np.zeros(len(paths), np.int64)
+    for k, d in reversed(list(enumerate(depths))):
+        at = _nodes(paths, d)
+        size = np.diff(np.append(at, len(paths)))
+        whole = size.copy()
+        whole[0] += before[k]
+        whole[-1] += after[k]
+        whole = np.repeat(whole, size)
+        fits = (whole <= most) | (d == depths[-1])
+        depth[fits], m[fits] = d, whole[fits]
+    shared = np.flatnonzero(m > 1)
+    for i in range(0, len(shared), 50_000):
+        at = shared[i : i + 50_000]
+        names = [paths[k, : 1 + 2 * d].tobytes() for k, d in zip(at.tolist(), depth[at].tolist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"fp": pa.array([x.tobytes() for x in fp[at]], pa.binary()), "node": pa.array(names, pa.binary()), "m": pa.array(m[at], pa.int64())})
+
+
+def runs_of(sets: DataFrame, threshold: float, run: int = RUN) -> DataFrame:
+    """The forest: run_id, m, fp of every document that shares a run of m with another."""
+    longest = prefix_length(threshold)
+    depths = range(max(1, longest - BEYOND), longest + 1)
+    paths = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * PATH + 1, F.lit(PATH)))
+    rows = sets.select("fp", F.posexplode(paths).alias("tree", "path"))
+    rows = rows.select("fp", F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), "path").alias("path"))
+    parts = max(n_partitions(sets.sparkSession), -(-TREES * sets.count() // PATHS))
+    tries = settle(rows.repartitionByRange(parts, "path", "fp").sortWithinPartitions("path", "fp"))
+    ends = tries.mapInArrow(lambda b: _ends(b, depths), "part long, n long, first binary, last binary, lead array<long>, tail array<long>").collect()  # a row a part
+    beyond = outside(ends, depths)
+    shared = tries.mapInArrow(lambda b: _shared(b, beyond, depths, run), "fp binary, node binary, m long")
+    return shared.select(F.xxhash64("node").alias("run_id"), "m", "fp")
 
 
 def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -133,14 +213,13 @@ def _alike(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
     for g in _groups(batches, ["run", "a", "b"]):
         sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
         fp, tile = g["fp"].to_numpy(), g["tile"].to_numpy()
-        order = np.lexsort(sig[:, DEPTH - 1 :: -1].T)  # the order of the first trie
-        sig, fp, tile = sig[order], fp[order], tile[order]
         cross = g["a"].iloc[0] != g["b"].iloc[0]
         us, vs = [], []
-        for i in range(0, len(sig), 64):
-            same = (sig[i : i + 64, None, :] == sig[None, :, :]).sum(-1) >= least
+        step = max(1, (1 << 17) // len(sig))
+        for i in range(0, len(sig), step):
+            same = (sig[i : i + step, None, :] == sig[None, :, :]).sum(-1) >= least
             if cross:
-                same &= tile[i : i + 64, None] != tile[None, :]
+                same &= tile[i : i + step, None] != tile[None, :]
             u, v = np.nonzero(same)
             u += i
             us.append(u[u < v])
@@ -230,29 +309,27 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     num, den = threshold
     s = num / den
-    prefix = prefix_length(s)
     least = int(np.floor(TREES * DEPTH * (s - SLACK * np.sqrt(s * (1 - s) / (TREES * DEPTH)))))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), row_hash(docs[key], docs[text]).alias("_row"), docs[text].cast("binary").alias("_text"))
-    signed = settle(rows.mapInPandas(lambda b: _signed(b, prefix), f"key {kind}, _row long, fp string, n long, sig binary, prefixes array<long>"))
+    signed = settle(rows.mapInPandas(_signed, f"key {kind}, _row long, fp binary, n long, sig binary"))
     sets = settle(
         signed.where("fp IS NOT NULL")
         .groupBy("fp")
-        .agg(F.min_by(F.struct("key", "_row"), "_row").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("prefixes").alias("prefixes"))
+        .agg(F.min_by(F.struct("key", "_row"), "_row").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     )
-    # runs: documents under one shortened prefix; runs with the same members count once
-    places = sets.select("fp", F.posexplode("prefixes").alias("trie", "prefix"))
-    runs = places.groupBy("trie", "prefix").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who")).where("m > 1")
-    runs = runs.groupBy("m", "who").agg(F.min(F.struct("trie", "prefix")).alias("at")).select("m", F.col("at.trie").alias("trie"), F.col("at.prefix").alias("prefix"))
-    members = places.join(runs, ["trie", "prefix"]).select("fp", F.xxhash64("trie", "prefix").alias("run_id"), "m")
-    met = tiled(members, "run_id", "m", "fp").join(sets.select("fp", "sig"), "fp")
-    edges = by_tile(met.select("run", "a", "b", "tile", "fp", "sig"), lambda b: _alike(b, least), "u string, v string")
+    forest = settle(runs_of(sets, s))
+    # runs with the same members count once
+    runs = forest.groupBy("run_id").agg(F.max("m").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who")).groupBy("m", "who").agg(F.min("run_id").alias("run_id"))
+    members = forest.join(runs.select("run_id"), "run_id", "left_semi")
+    met = tiled(members, "run_id", "m", "fp", SIGNED).join(sets.select("fp", "sig"), "fp")
+    edges = by_tile(met.select("run", "a", "b", "tile", "fp", "sig"), lambda b: _alike(b, least), "u binary, v binary")
     groups = components(edges)
     sized = groups.groupBy("root").agg(F.count("*").alias("m"))
     grouped = groups.join(sized, "root").join(sets.select(F.col("fp").alias("node"), "rep", "copies"), "node")
     want = tiled(grouped.withColumnRenamed("node", "fp"), "root", "m", "fp").select("run", "a", "b", "tile", "fp", "copies", F.col("rep._row").alias("_want"), F.col("rep.key").alias("_key"))
     met = want.join(rows, (F.col("_want") == F.col("_row")) & F.col("_key").eqNullSafe(F.col("key")))
-    found = settle(by_tile(met.select("run", "a", "b", "tile", "fp", "copies", "_text"), lambda b: _verified(b, num, den), "fp string, links long, least string"))
+    found = settle(by_tile(met.select("run", "a", "b", "tile", "fp", "copies", "_text"), lambda b: _verified(b, num, den), "fp binary, links long, least binary"))
     roots = components(found.select(F.col("fp").alias("u"), F.col("least").alias("v")))
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = sets.select("fp", "key", "copies").join(links, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -261,7 +338,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     classes = classes.join(ids, "root").select("fp", "class_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("key", "_row", "fp", F.col("n").alias("n_shingles")).join(classes, "fp", "left")
     own = F.col("fp").isNull()
-    return out.select("key", "_row", F.when(own, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_shingles", F.coalesce("root", F.concat(F.lit("row "), F.col("_row").cast("string"))).alias("class"))
+    return out.select("key", "_row", F.when(own, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_shingles", F.coalesce(F.hex("root"), F.concat(F.lit("row "), F.col("_row").cast("string"))).alias("class"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -117,7 +117,7 @@ def test_classes_match_all_pairs(spark, odd, none):
 def test_small_tiles_give_the_same(spark, monkeypatch):
     rows = near_copies(3, 2, 30, 3)
     cut = neardup.tiled
-    monkeypatch.setattr(neardup, "tiled", lambda *a: cut(*a, tile=8))
+    monkeypatch.setattr(neardup, "tiled", lambda run, at, size, node, tile=8: cut(run, at, size, node, 8))
     got = neardup.jaccard_classes(frame(spark, rows)).collect()
     assert Counter((r["key"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
@@ -132,8 +132,41 @@ def test_one_of_each_class(spark, odd):
 
 
 def test_prefix_meets_the_recall():
-    k = neardup.prefix_length(0.8)
-    assert 1 - (1 - 0.8**k) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** neardup.TREES
+    k = neardup.prefix_length(0.7)
+    assert 1 - (1 - 0.7**k) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.7 ** (k + 1)) ** neardup.TREES
+
+
+def test_runs_of_the_forest(spark, monkeypatch):
+    """Runs against prefixes counted one by one, over several parts."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 6, (30, neardup.TREES * neardup.DEPTH))
+    sigs = [np.where(rng.random(base.shape[1]) < 0.1, rng.integers(0, 9, base.shape[1]), base[i % 30 if i % 3 else 0]).astype(">u2").tobytes() for i in range(300)]
+    fps = [i.to_bytes(16, "big") for i in range(300)]
+    monkeypatch.setattr(neardup, "PATHS", 200)
+    got = defaultdict(set)
+    for r in neardup.runs_of(spark.createDataFrame(list(zip(fps, sigs, strict=True)), "fp binary, sig binary"), 0.8, 8).collect():
+        got[r["run_id"], r["m"]].add(bytes(r["fp"]))
+    want, longest = Counter(), neardup.prefix_length(0.8)
+    depths = range(longest - neardup.BEYOND, longest + 1)
+    for t in range(neardup.TREES):
+        path = [s[t * neardup.PATH : (t + 1) * neardup.PATH] for s in sigs]
+        counts = {d: Counter(p[: 2 * d] for p in path) for d in depths}
+        runs = defaultdict(set)
+        for i, p in enumerate(path):
+            runs[p[: 2 * next((d for d in depths if counts[d][p[: 2 * d]] <= 8), longest)]].add(fps[i])
+        want.update(frozenset(v) for v in runs.values() if len(v) > 1)
+    assert Counter(frozenset(v) for v in got.values()) == want and all(len(v) == m for (_, m), v in got.items())
+    assert {len(v) > 8 for v in want} == {True, False}
+
+
+@pytest.mark.parametrize("size", [2, 5, 30])
+def test_recall_of_links(spark, monkeypatch, size):
+    """Links found of those that brute force finds, near the threshold, by size of the cluster."""
+    monkeypatch.setattr(neardup.runs_of, "__defaults__", (4,))
+    rows = near_copies(size, 120 // size, size, 5)
+    got = neardup.jaccard_classes(frame(spark, rows)).collect()
+    want = sum(n for _, _, n in brute_classes(rows).elements())
+    assert want and 0.98 * want <= sum(r["n_links"] for r in got) <= want
 
 
 def test_minhash_estimates_jaccard():
