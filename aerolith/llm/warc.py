@@ -22,6 +22,10 @@ from aerolith.llm.common import n_partitions, open_store, put, settle, workspace
 GZIP = b"\x1f\x8b\x08"
 SPLIT = 4 << 20
 READ = 1 << 20
+#: First step of reading beyond a range, for its last record.
+BEYOND = 1 << 16
+#: Digests of this share of all rows at least are handed to every task: at most so many.
+HOT = 1_000
 FILE = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -41,9 +45,9 @@ def _line(value: object) -> str:
     return str(value).replace("\r", "%0D").replace("\n", "%0A")
 
 
-def member(key: object, url: str | None, payload: bytes, payload_digest: str, refers_to: object) -> bytes:
-    """One record as a gzip member; with refers_to a revisit without the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def member(key: object, url: str | None, payload: bytes | None, length: int, payload_digest: str, refers_to: object) -> bytes:
+    """One record as a gzip member; with refers_to a revisit without the payload, whose length its HTTP header keeps."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
@@ -77,8 +81,8 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) ->
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            for key, url, html, sha, refers in zip(*(part.column(c).to_pylist() for c in ("key", "url", "payload", "sha", "refers_to")), strict=True):
-                m = member(key, url, html, base64.b32encode(bytes.fromhex(sha)).decode(), refers)
+            for key, url, html, length, sha, refers in zip(*(part.column(c).to_pylist() for c in ("key", "url", "payload", "length", "sha", "refers_to")), strict=True):
+                m = member(key, url, html, length, base64.b32encode(bytes.fromhex(sha)).decode(), refers)
                 held.append(m)
                 size, n = size + len(m), n + 1
                 if size >= file_bytes:
@@ -104,12 +108,22 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = rows.withColumn("sha", F.sha1("payload"))
     # digests alone are grouped (a copy in each map task), then met by one row each
     last = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(last.drop("n"), "sha", "left").withColumn("refers_to", F.when(F.col("key") < F.col("last"), F.col("last")))
-    return settle(rows.select("key", "url", "payload", "sha", "refers_to").mapInArrow(lambda b: _written(b, folder, file_bytes), "file string, bytes long, records long"))
-
-
-def _header(data: bytes, z) -> tuple[dict, bytes] | None:
-    """Header fields and what follows them, None while the end of the header is not there."""
+    last = settle(last)
+    # payloads of the most common digests stay where they are (there are at most HOT such digests); a revisit goes without its payload
+    few = rows.count() // HOT
+    hot = F.broadcast(last.where(F.col("n") > few).select("sha", F.col("last").alias("_hot")))
+    rest = last.where(F.col("n") <= few).select(F.col("sha").alias("_at"), F.col("last").alias("_last"))
+    rows = rows.withColumn("length", F.octet_length("payload").cast("long")).join(hot, "sha", "left")
+    # rows of a common digest are dealt by their key
+    rows = rows.withColumn("_at", F.when(F.col("_hot").isNull(), F.col("sha")).otherwise(F.xxhash64("key", "url").cast("string")))
+    rows = rows.withColumn("payload", F.when(F.col("_hot").isNull() | F.col("key").isNull() | (F.col("key") >= F.col("_hot")), F.col("payload")))
+    rows = rows.join(rest, "_at", "left").withColumn("_last", F.coalesce("_hot", "_last"))
+    rows = rows.withColumn("refers_to", F.when(F.col("key") < F.col("_last"), F.col("_last"))).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    return settle(rows.select("key", "url", "payload", "length", "sha", "refers_to").mapInArrow(lambda b: _written(b, folder, file_bytes), "file string, bytes long, records long"))
+
+
+def _header(data: bytes) -> tuple[dict, bytes] | None:
+    """Header fields and what follows them, None if the end of the header is not there."""
     at = data.find(b"\r\n\r\n")
     if at < 0:
         return None
@@ -120,47 +134,79 @@ def _header(data: bytes, z) -> tuple[dict, bytes] | None:
     return fields, data[at + 4 :]
 
 
-def parse_member(fetch, at: int, step: int = READ) -> tuple[dict, bytes, int] | None:
+class Window:
+    """Part of a file in memory: read on in steps, let go from the front, no byte read twice."""
+
+    def __init__(self, fetch, start: int, end: int, step: int = READ, beyond: int = BEYOND):
+        self._fetch, self.base, self._end, self._step, self._beyond = fetch, start, end, step, beyond
+        self.data, self.over = bytearray(), False
+
+    def more(self) -> bool:
+        """Reads on: whole steps inside the range, small ones that double beyond it."""
+        at = self.base + len(self.data)
+        if at < self._end:
+            n = min(self._step, self._end - at)
+        else:
+            n, self._beyond = self._beyond, min(2 * self._beyond, self._step)
+        got = b"" if self.over else self._fetch(at, n)
+        self.over = self.over or len(got) < n
+        self.data += got
+        return bool(got)
+
+    def drop(self, to: int) -> None:
+        del self.data[: to - self.base]
+        self.base = to
+
+
+def parse_member(window: Window, at: int) -> tuple[dict, bytes, int] | None:
     """The record of a member that starts at `at` (fields, block, its end), or None if none does."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    probe = 4096
+    z, out, pos, n = zlib.decompressobj(31), [], at - window.base, 0
     try:
         while not z.eof:
-            data = fetch(pos, probe if pos == at else step)
-            if not data:
+            if pos >= len(window.data) and not window.more():
                 return None
-            out.append(z.decompress(data))
-            pos += len(data)
-            if pos - len(data) == at and not b"WARC/1.".startswith(out[0][:7]) and not out[0].startswith(b"WARC/1."):
+            # a little first: most false magic ends here
+            part = bytes(window.data[pos : pos + (1024 if not out else 1 << 16)])
+            pos += len(part)
+            out.append(z.decompress(part))
+            n += len(out[-1])
+            begin = b"".join(out)[:7] if n < 1 << 16 else b"WARC/1."
+            if not b"WARC/1.".startswith(begin):
                 return None
     except zlib.error:
         return None
     whole = b"".join(out)
-    head = _header(whole, z) if whole.startswith(b"WARC/1.") else None
+    head = _header(whole) if whole.startswith(b"WARC/1.") else None
     if head is None:
         return None
     fields, rest = head
     size = int(fields.get("content-length", "-1"))
     if size < 0 or len(rest) < size:
         return None
-    return fields, rest[:size], pos - len(z.unused_data)
+    return fields, rest[:size], window.base + pos - len(z.unused_data)
 
 
-def scan(fetch, start: int, end: int, step: int = READ) -> Iterator[tuple[dict, bytes]]:
-    """Records whose members start in [start, end)."""
-    at = start
+def scan(fetch, start: int, end: int, step: int = READ, beyond: int = BEYOND) -> Iterator[tuple[dict, bytes]]:
+    """Records whose members start in [start, end); the range is read once, and on from its end to that of its last record."""
+    window, at = Window(fetch, start, end, step, beyond), start
     while at < end:
-        window = fetch(at, min(step, end - at) + len(GZIP) - 1)
-        k = window.find(GZIP)
-        while k >= 0 and at + k < end:
-            found = parse_member(fetch, at + k)
-            if found is not None:
-                yield found[0], found[1]
-                at, k = found[2], None
-                break
-            k = window.find(GZIP, k + 1)
-        if k is not None:
-            at += step
+        k = window.data.find(GZIP, at - window.base)
+        if k < 0:
+            # the magic may lie across the end of what is there
+            at = max(at, window.base + len(window.data) - len(GZIP) + 1)
+            window.drop(at)
+            if at >= end or not window.more():
+                return
+            continue
+        if window.base + k >= end:
+            return
+        found = parse_member(window, window.base + k)
+        at = window.base + k + 1
+        if found is not None:
+            yield found[0], found[1]
+            at = found[2]
+        if at - window.base > step:
+            window.drop(at)
 
 
 def _records(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:

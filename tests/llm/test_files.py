@@ -160,7 +160,7 @@ def test_archives_give_the_pages_back(spark, none):
 
 
 def test_every_split_owns_each_record_once():
-    members = [warc.member(i, "u", f"body {i} ".encode() * (i * 13 % 90), "D", None) for i in range(40)]
+    members = [warc.member(i, "u", f"body {i} ".encode() * (i * 13 % 90), 0, "D", None) for i in range(40)]
     decoy = gzip.compress(b"not a record")
     data = b"".join(members[:20]) + decoy + b"\x1f\x8b\x08 junk" + b"".join(members[20:])
     fetch = lambda a, n: data[a : a + n]
@@ -168,3 +168,19 @@ def test_every_split_owns_each_record_once():
         found = [int(f["x-page-id"]) for a in range(0, len(data), size) for f, _ in warc.scan(fetch, a, min(a + size, len(data)), step=64)]
         assert found == list(range(40))
     assert list(warc.scan(lambda a, n: members[0][:-30][a : a + n], 0, 500)) == []  # cut short
+
+
+@pytest.mark.parametrize("size", [5_000, 200_000])
+def test_reads_little_more_than_the_file(size):
+    """Bytes fetched by all ranges of a file of small records, at most twice its length."""
+    rng = np.random.default_rng(size)
+    data = b"".join(warc.member(i, "u", rng.bytes(int(rng.integers(50, 600))), 0, "D", None) for i in range(2_000))
+    fetched, found = 0, 0
+    for a in range(0, len(data), size):
+        def fetch(at, n):
+            nonlocal fetched
+            fetched += len(data[at : at + n])
+            return data[at : at + n]
+
+        found += sum(1 for _ in warc.scan(fetch, a, min(a + size, len(data)), beyond=1 << 10))
+    assert found == 2_000 and fetched <= 2 * len(data)
