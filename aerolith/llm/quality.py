@@ -15,8 +15,9 @@ BITS = 16
 #: Most labelled rows that the target model and the cut are fitted on, the least by hash.
 LABELLED = 20_000
 SMOOTH = 0.5
-#: Nats between the medians of good and bad labelled rows, to which log weights are scaled before the noise.
-GAP = 40.0
+#: Nats between the medians of good and bad labelled rows, to which log weights are scaled before the noise: most
+#: good texts lie one to five nats above the cut, among which Gumbel noise (deviation 1.3) decides.
+GAP = 10.0
 #: N-grams of ratio 1 that every text counts as having besides its own: a short one is rejected on evidence only.
 PRIOR = 20
 #: A good text rejected costs as much as so many bad ones kept.
@@ -99,15 +100,15 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED, bits: int = BITS, gap: float = GAP, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED, bits: int = BITS, gap: float = GAP, seed: int = SEED, k: int | None = None) -> DataFrame:
     """Log importance weight of every row and whether the Gumbel top-k keeps it.
 
     Raw counts cover all rows. Of the labelled rows at most `labelled` are used (the documented
     bound): two thirds of them for the target model (those with label 1), the others, held
     out, for the cut. The log weight of a row is the mean log ratio of target to raw probability over
     its n-grams and PRIOR neutral ones, scaled so that the labelled classes lie `gap` nats apart and 0 is the
-    cut between them; k is the number of rows above 0, and the k largest weights with
-    Gumbel noise are kept (ties with the k-th too).
+    cut between them. The k largest weights with Gumbel noise are kept (ties with the k-th too), which
+    draws k rows without replacement in proportion to their weights; by default k is the number of rows above 0.
 
     Returns key, _row (hash of key and text, to join back by), n_features, log_weight,
     noisy, kept. Texts without words (null, empty) have nothing to weigh and are rejected.
@@ -135,7 +136,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     weight = (F.col("ratio") - F.lit(cut if np.isfinite(cut) else -1e6)) * scale
     noisy = scored.withColumn("log_weight", weight).withColumn("noisy", F.col("log_weight") + gumbel(F.col("_row"), seed))
     noisy = noisy.withColumn("_at", F.when(F.col("n_features") > 0, F.round(F.least(F.greatest("noisy", F.lit(-1e9)), F.lit(1e9)) * 2**20).cast("long")))
-    k = noisy.where("n_features > 0 AND log_weight >= 0").count()
+    k = noisy.where("n_features > 0 AND log_weight >= 0").count() if k is None else k
     least = kth_largest(noisy, "_at", k)
     kept = F.coalesce(F.col("_at") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
     return noisy.withColumn("kept", kept).drop("_at", "_good", "_fit", "ratio")

@@ -1,11 +1,13 @@
 """Classifier, near-duplicate join, surrogates and the pipeline against brute force."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from aerolith.llm import neardup, pii, quality
@@ -41,6 +43,50 @@ def test_classifier_on_rows_it_has_not_seen(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
 
 
+def plain_buckets(text):
+    """Buckets of words and pairs of words, hashed with Python's integers."""
+    full = (1 << 64) - 1
+
+    def bucket(x):
+        x ^= x >> 32
+        x = x * 0x9E3779B97F4A7C15 & full
+        return (x ^ x >> 29) >> 48
+
+    h = [xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in WORD.findall(text or "")]
+    return [bucket(x) for x in h] + [bucket((a * 0x100000001B3 + b + 1) & full) for a, b in zip(h, h[1:], strict=False)]
+
+
+def test_weights_and_top_k_by_brute_force(spark, odd):
+    docs, labels, _ = labelled_docs(spark)
+    docs = docs.unionByName(odd.select(*docs.columns))
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    held = {r["doc_id"]: (r["quality"], r["x"] > 0) for r in labels.withColumn("x", F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED + 100)), F.lit(3))).collect()}
+    raw, good = Counter(), Counter()
+    for k, t in texts:
+        raw.update(plain_buckets(t))
+        if held.get(k) == (1, True):
+            good.update(plain_buckets(t))
+    size = 1 << quality.BITS
+    log_p = lambda c, b: math.log((c[b] + quality.SMOOTH) / (c.total() + quality.SMOOTH * size))
+    ratio = {b: log_p(good, b) - log_p(raw, b) for b in raw}
+    mean = lambda t: sum(ratio[b] for b in plain_buckets(t)) / (len(plain_buckets(t)) + quality.PRIOR)
+    out = [(k, mean(t)) for k, t in texts if k in held and not held[k][1] and plain_buckets(t)]
+    ok, bad = (np.array([x for k, x in out if held[k][0] == want]) for want in (1, 0))
+    cut = quality.best_cut(ok, bad)
+    scale = quality.GAP / (np.median(ok) - np.median(bad))
+    want = Counter((k, round((mean(t) - cut) * scale, 2)) for k, t in texts)
+    for k in (None, 37):
+        rows = quality.resample(docs, labels, k=k).collect()
+        assert len(rows) == len(texts)
+        near = Counter((r["key"], round(r["log_weight"], 2)) for r in rows)
+        assert (want - near).total() <= 0.02 * len(texts)  # single precision at the edge of a hundredth
+        some = sorted((r["noisy"] for r in rows if r["n_features"]), reverse=True)
+        least = some[(k or sum(r["log_weight"] >= 0 for r in rows if r["n_features"])) - 1]
+        assert all(r["kept"] == (r["n_features"] > 0 and r["noisy"] >= least - 1e-6) for r in rows)
+    noise = np.sort([r["noisy"] - r["log_weight"] for r in rows])
+    assert np.abs(np.exp(-np.exp(-noise)) - (np.arange(len(noise)) + 0.5) / len(noise)).max() < 0.08
+
+
 def test_classifier_edges(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (4, 0), (11, 1), (12, 0), (13, None)], "doc_id long, quality int")
     rows = quality.resample(odd, labels).collect()
