@@ -84,10 +84,15 @@ def lanes(n_rows: int, per_lane: int = 512, most: int = 1 << 16) -> int:
     return min(most, max(8, 1 << max(0, (max(1, n_rows) // per_lane).bit_length())))
 
 
-def lane_of(key: Column, n_lanes: int) -> Column:
-    """The lane of a hash key; lanes are in key order (both as unsigned numbers)."""
+def digest60(key: Column, salt: str) -> Column:
+    """The first 60 bits of an MD5 of salt and key as a long, which any SQL engine can give; null is like an empty key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def lane_of(key: Column, n_lanes: int, width: int = 64) -> Column:
+    """The lane of a hash key of so many bits; lanes are in key order (both as unsigned numbers)."""
     bits = n_lanes.bit_length() - 1
-    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+    return F.shiftrightunsigned(key, width - bits) if bits else F.lit(0).cast("long")
 
 
 def running(df: DataFrame, group: list[str], lane: str, order: list[str], value: Column, out: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import fresh, lane_of, lanes, running, settle, spread
+from aerolith.llm.common import digest60, fresh, lane_of, lanes, running, settle
 
-SEED = 4
+SEED = "mix "
 CAP = 3
 
 
@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return w.withColumn("target", F.least(share, F.col("_limit"))).select("source", "source_size", "weight", "target")
 
 
-def mix(df: DataFrame, key: str, source: str, size: Column, cap: float = CAP, seed: int = SEED, carry: list[Column] | None = None) -> DataFrame:
+def mix(df: DataFrame, key: str, source: str, size: Column, cap: float = CAP, seed: str = SEED, carry: list[Column] | None = None) -> DataFrame:
     """How much of every row the mix takes.
 
     Returns key, source, size, source_size, target, epochs (full passes over the source),
@@ -45,9 +45,9 @@ def mix(df: DataFrame, key: str, source: str, size: Column, cap: float = CAP, se
     stand; an empty table gives an empty result.
     """
     base = df.select(df[key].alias("key"), df[source].alias("source"), size.alias("size"), *(carry or []))
-    base = settle(base.withColumn("_key", spread(F.col("key"), seed)).withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    base = settle(base.withColumn("_key", digest60(F.col("key"), seed)).withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     per_lane = lanes(base.count())
-    base = base.withColumn("_lane", lane_of(F.col("_key"), per_lane))
+    base = base.withColumn("_lane", lane_of(F.col("_key"), per_lane, 60))
     sizes = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = source_targets(sizes, cap).withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source", "weight")
     tie = ["_key", "key", "size"]
@@ -61,7 +61,7 @@ def mix(df: DataFrame, key: str, source: str, size: Column, cap: float = CAP, se
     return rows.drop("_src", "_key", "_lane", "_left")
 
 
-def mixed_rows(df: DataFrame, row: Column, key: str, source: str, size: Column, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def mixed_rows(df: DataFrame, row: Column, key: str, source: str, size: Column, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The rows of df as often as the mix takes them whole, none where it takes less than half of one.
 
     row is a hash that tells rows apart; rows that it does not are copies of one another and
