@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,52 +12,47 @@ from aerolith.llm.common import lane_of, lanes, running, settle, spread
 
 BUCKETS = 32
 TOKENS = 65_536
-#: Lengths up to here have a bin of their own; above it an octave has FINE bins.
-EXACT = 16_384
-FINE = 2_048
-
-
-def length_bin(length: Column) -> Column:
-    """Histogram bin of a length: exact up to EXACT, then 1/FINE of an octave, so bins stay bounded."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / EXACT))
-    step = F.floor(length.cast("double") / (EXACT * F.pow(F.lit(2.0), octave)) * FINE)
-    return F.when(length <= EXACT, length.cast("long")).otherwise((EXACT + (octave * FINE + step - FINE) + 1).cast("long"))
 
 
-def best_bounds(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
-    """At most k upper bounds that minimise sum(count * (bound - length)); exact dynamic program.
+def best_bounds(lengths: list[int], counts: list[int], k: int) -> list[int]:
+    """At most k upper bounds that minimise sum(count * (bound - length)); exact dynamic program in whole numbers.
 
-    cost(i, j) = lengths[j] * count(i..j) - total(i..j) satisfies the quadrangle inequality,
-    so each layer is solved by divide and conquer: O(k n log n).
+    With c[i] rows in the first i lengths, the best cost of buckets that end at j is the least of
+    best[i] - lengths[j] * c[i + 1] over i < j, plus lengths[j] * c[j + 1]: lines in lengths[j] whose
+    slopes fall, so a layer is one walk along their lower envelope, O(k n) in all.
     """
     n = len(lengths)
     if n <= k:
         return [int(x) for x in lengths]
-    c = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    best = lengths * c[1:]  # one bucket over the first j + 1 lengths; what the lengths themselves sum to is the same for all cuts
+    lengths, c = [int(x) for x in lengths], [0, *accumulate(int(x) for x in counts)]
+    best = [x * m for x, m in zip(lengths, c[1:], strict=True)]  # one bucket; what the lengths themselves sum to is the same for all cuts
     back = []
     for _ in range(1, k):
-        new, arg = np.empty(n), np.zeros(n, dtype=np.int64)
-        new[0], todo = best[0], [(1, n - 1, 0, n - 2)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            mid = (lo + hi) // 2
-            i = np.arange(a, min(mid - 1, b) + 1)  # the bucket before ends at i
-            v = best[i] + lengths[mid] * (c[mid + 1] - c[i + 1])
-            at = int(np.argmin(v))
-            new[mid], arg[mid] = v[at], i[at]
-            todo += [(lo, mid - 1, a, int(i[at])), (mid + 1, hi, int(i[at]), b)]
+        new, arg, line, at = best[:1], array("q", [0]), [], 0
+        for j in range(1, n):
+            i = j - 1
+            s, b = c[i + 1], best[i]
+            # a line is of no use if its neighbours meet below it
+            while len(line) > 1:
+                (s1, b1, _), (s2, b2, _) = line[-2], line[-1]
+                if (b - b1) * (s2 - s1) > (b2 - b1) * (s - s1):
+                    break
+                line.pop()
+            line.append((s, b, i))
+            at, x = min(at, len(line) - 1), lengths[j]
+            while at + 1 < len(line) and line[at + 1][1] - x * line[at + 1][0] < line[at][1] - x * line[at][0]:
+                at += 1
+            new.append(line[at][1] - x * line[at][0] + x * c[j + 1])
+            arg.append(line[at][2])
         back.append(arg)
         best = new
     out, j = [], n - 1
     for arg in reversed(back):
-        out.append(int(lengths[j]))
+        out.append(lengths[j])
         if j == 0:
             return sorted(set(out))
-        j = int(arg[j])
-    return sorted({*out, int(lengths[j])})
+        j = arg[j]
+    return sorted({*out, lengths[j]})
 
 
 def pack(df: DataFrame, key: str, length: Column, n_buckets: int = BUCKETS, tokens: int = TOKENS, seed: int = 10) -> DataFrame:
@@ -65,13 +62,13 @@ def pack(df: DataFrame, key: str, length: Column, n_buckets: int = BUCKETS, toke
     bucket, from 0), place (in the batch), padding and padded. A row longer than the budget is
     a batch by itself, never cut. Rows go to batches in hash order. Length 0 (null and
     empty texts) is a length like any other; repeated rows all get places; an
-    empty table gives an empty result. Only the histogram (bounded bins) goes to the driver.
+    empty table gives an empty result. Only the histogram goes to the driver, a row for each distinct
+    length: of T tokens in all there are at most sqrt(2 T).
     """
     base = settle(df.select(df[key].alias("key"), length.cast("long").alias("length")).withColumn("_key", spread(F.col("key"), seed)))
-    bins = base.groupBy(length_bin(F.col("length")).alias("bin")).agg(F.count("*").alias("n"), F.max("length").alias("top"))
-    found = sorted((r["top"], r["n"]) for r in bins.collect())
-    n_rows = sum(n for _, n in found)
-    bounds = best_bounds(np.array([x for x, _ in found], dtype=np.float64), np.array([n for _, n in found]), n_buckets) or [0]
+    found = base.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").toPandas()
+    n_rows = int(found["n"].sum())
+    bounds = best_bounds(found["length"].tolist(), found["n"].tolist(), n_buckets) or [0]
     ends = F.array(*[F.lit(x).cast("long") for x in bounds])
     bucket = F.size(F.filter(ends, lambda b: b < F.col("length")))
     rows = base.withColumn("bucket", bucket).withColumn("bucket_len", F.get(ends, F.col("bucket")))
