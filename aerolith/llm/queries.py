@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import mixing, neardup, packing, pii, quality, rules, sharding, vectors, warc, wavelet
+from aerolith.llm import mixing, neardup, oracles, packing, pii, quality, rules, sharding, vectors, warc, wavelet
 from aerolith.llm.common import table, word_count
 
 #: Key of the surrogates; a deployment passes its own.
@@ -38,7 +38,7 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, "doc_id", "source", word_count(docs["text"]))
-    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source")
+    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", "source")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,30 +87,12 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_resampling, op2_jaccard_join, op3_hilbert_sharding, op4_source_mixing, op5_embedding_dedup, op6_pii_surrogates, op7_wavelet_ids, op8_warc_reader, op9_rule_ledger, op10_length_packing)}
 
 
-def ledger_sql(policy: str = "v2") -> str:
-    """op9 in DuckDB's SQL; windows are compared by their words."""
-    hard, soft = rules.POLICIES[policy]
-    mask = sum(rules.bit(n) for n in hard)
-    rest = ((1 << len(rules.RULES)) - 1) & ~mask
-    base = sum(rules.bit(n) for n in rules.BASE)
-    bits = " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END" for i, (_, fails) in enumerate(rules.RULES))
-    return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
-s AS (SELECT r, doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-windows AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
-repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
-covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS t(k) GROUP BY r),
-m AS (
-  SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols,
-    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-    len(list_filter(w, lambda x: regexp_full_match(x, '[^\p{{Ll}}]*\p{{Lu}}\p{{Lu}}[^\p{{Ll}}]*'))) AS n_upper_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words
-  FROM s LEFT JOIN covered USING (r)),
-f AS (SELECT *, CAST({bits} AS INTEGER) AS fail_bits FROM m)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  (fail_bits & {base}) <> 0 AS base_failed, (fail_bits & {base}) = 0 AND (fail_bits & {mask}) = 0 AND bit_count(fail_bits & {rest}) <= {soft} AS kept, fail_bits,
-  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper_words AS BIGINT) AS n_upper_words, CAST(n_alpha_words AS BIGINT) AS n_alpha_words
-FROM f"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op9_rule_ledger": ledger_sql()}
+    return {
+        "op2_jaccard_join": oracles.jaccard_sql(),
+        "op3_hilbert_sharding": oracles.shards_sql(SHARD_DIMS),
+        "op4_source_mixing": oracles.mix_sql(),
+        "op5_embedding_dedup": oracles.vectors_sql(vectors.COSINE),
+        "op8_warc_reader": oracles.archive_sql(),
+        "op9_rule_ledger": oracles.ledger_sql(),
+    }

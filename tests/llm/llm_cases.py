@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside.
-CLASHES = ["key", "size", "row", "_row", "_h", "taken", "fp", "root", "shard", "slot", "bucket", "_text", "n_words", "kept", "count", "source_size", "_lane", "m"]
+CLASHES = ["key", "size", "row", "_row", "_h", "taken", "fp", "root", "shard", "slot", "bucket", "_text", "n_words", "kept", "count", "source_size", "_lane", "m", "_curve", "curve", "_cell", "_at", "_part", "_rank", "part", "dim", "length", "payload", "sha", "node", "path"]
 
 
 def frame(spark, rows):

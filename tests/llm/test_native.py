@@ -1,5 +1,6 @@
 """Sharding, mixing, packing and the rule ledger against plain Python."""
 
+import hashlib
 import itertools
 import re
 import zlib
@@ -52,14 +53,53 @@ def test_one_cell_with_all_rows_still_spreads(spark):
     assert sorted(sizes.values()) == [62, 62, 62, 62, 63, 63, 63, 63]
 
 
+def brute_shards(rows, n=8, bits=5):
+    """(doc_id, crc, curve, shard, slot) by plain sorting: exact quantiles, the curve's table, an MD5 for ties."""
+    def bounds(values):
+        values, bins, out = sorted(v for v in values if v is not None), 2**bits - 1, set()
+        for v in set(values):
+            low, high = sum(x < v for x in values), sum(x <= v for x in values)
+            if any(low * bins < i * len(values) <= high * bins for i in range(1, bins)):
+                out.add(v)
+        return out
+
+    digits, following = sharding.curve_table(3)
+    dims = [[r[2].encode() if r[2] is not None else None for r in rows], [b"en"] * len(rows), [None if r[1] is None else len(r[1]) for r in rows]]
+    ends = [bounds(d) for d in dims]
+    found = []
+    for i, (key, text, _) in enumerate(rows):
+        at = [0 if d[i] is None else 1 + sum(b < d[i] for b in e) for d, e in zip(dims, ends, strict=True)]
+        state = h = 0
+        for level in range(bits - 1, -1, -1):
+            cell = sum((c >> level & 1) << (2 - k) for k, c in enumerate(at))
+            state, h = following[state * 8 + cell], h * 8 + digits[state * 8 + cell]
+        tie = int(hashlib.md5(f"shard {'' if key is None else key}".encode()).hexdigest()[:15], 16)
+        found.append((h, tie, key is not None, key or 0, zlib.crc32((text or "").encode())))
+    out, starts = Counter(), [-(-k * len(rows) // n) for k in range(n + 1)]
+    for rank, (h, _, known, key, crc) in enumerate(sorted(found)):
+        shard = rank * n // len(rows)
+        out[key if known else None, crc, h, shard, rank - starts[shard]] += 1
+    return out
+
+
+def test_shards_match_plain_sorting(odd):
+    assert Counter((r["doc_id"], r["text_crc32"], r["curve"], r["shard"], r["slot"]) for r in shards(odd).collect()) == brute_shards(odd_rows())
+
+
+def test_long_common_prefixes_keep_their_order(spark):
+    rows = [(i, "t", f"https://www.site{i % 20}" if i % 21 else "a") for i in range(400)]
+    got = Counter((r["doc_id"], r["text_crc32"], r["curve"], r["shard"], r["slot"]) for r in shards(frame(spark, rows)).collect())
+    assert got == brute_shards(rows) and len({k[2] for k in got}) == 21
+
+
 def test_ledger_prunes_and_files(spark, odd, tmp_path):
     df = odd.where("doc_id >= 10")
-    placed = shards(df).withColumnRenamed("curve", "curve")
-    book = sharding.shard_ledger(placed.join(df.select("doc_id", "source"), "doc_id"), ["source"]).collect()
+    book = sharding.shard_ledger(shards(df).join(df.select("doc_id", "source"), "doc_id"), ["source"]).collect()
     assert sum(r["rows"] for r in book) == 60
-    plain = df.select("doc_id", "text", "source")
-    sharding.write_shards(plain, placed, "doc_id", str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 8
+    sharding.write_shards(odd, ["source", "lang", "n_chars"], 8, ["doc_id", "text"], str(tmp_path / "s"))  # it has null and repeated keys, and columns shard and slot
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t) for i, t, _ in odd_rows())
+    assert back.groupBy("shard_").count().count() == 8 and set(odd.columns) < set(back.columns)
 
 
 def brute_targets(sizes, cap=3):
@@ -146,10 +186,26 @@ def test_batches_keep_the_budget(odd, none):
     assert packing.pack(none, "doc_id", word_count(none["text"])).count() == 0
 
 
-def test_long_lengths_share_bins(spark):
-    df = spark.createDataFrame([(v,) for v in (1, 16384, 16385, 20000, 10**7, 10**7 + 1, 2**40)], "v long")
-    bins = [r[0] for r in df.select(packing.length_bin(F.col("v"))).collect()]
-    assert bins[:2] == [1, 16384] and bins == sorted(bins) and bins[4] == bins[5] and bins[-1] < 100_000
+def test_packing_matches_plain_ranking(spark):
+    """Bounds by trying all of them, ranks by sorting; one length is far above the others."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(v)) for i, v in enumerate([*rng.choice([3, 5, 8, 20, 21, 300], 120), 100_000, 70_000, 70_001])] + [(None, 3), (None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, v long")
+    got = packing.pack(df, "doc_id", F.col("v"), n_buckets=4, tokens=1000).collect()
+    lengths = [v for _, v in rows]
+    distinct = sorted(set(lengths))
+    pad = lambda ends: sum(next(e for e in ends if e >= v) - v for v in lengths)
+    ends = {e for r in got for e in [r["bucket_len"]]}
+    assert len(ends) <= 4 and pad(sorted(ends)) == min(pad([*c, distinct[-1]]) for k in range(4) for c in itertools.combinations(distinct[:-1], k))
+    order = {(r["doc_id"], r["v"]): r["h"] % 2**64 for r in df.select("*", F.xxhash64("doc_id", F.lit(10)).alias("h")).collect()}
+    want, by_end = Counter(), defaultdict(list)
+    for k, v in rows:
+        by_end[next(e for e in sorted(ends) if e >= v)].append((order[k, v], k or -1, v, k))
+    for n, e in enumerate(sorted(ends)):
+        for rank, (_, _, v, k) in enumerate(sorted(by_end[e])):
+            fit = max(1, 1000 // e)
+            want[k, v, n, e, rank // fit, rank % fit] += 1
+    assert Counter((r["key"], r["length"], r["bucket"], r["bucket_len"], r["batch"], r["place"]) for r in got) == want
 
 
 def brute_measures(t):
