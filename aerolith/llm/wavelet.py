@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ MAGIC = b"AWM1"
 CHUNK = 1 << 15
 SEGMENT = 1 << 22
 END = 1
-#: Ranges of keys that shards are put together from.
-RANGES = 4096
+#: Bytes of text that a shard is to hold, and how many shards there are at most (beyond, each has more segments).
 SHARD_BYTES = 16 << 20
+SHARDS = 1 << 16
 #: Parts of words whose ids a Python worker keeps, and as many from before.
 WORDS = 400_000
 #: Marks that may end a word; a run of them is one unit for the tokenizer.
@@ -218,8 +219,9 @@ class TextIds:
             shown = " ".join(u if u.isascii() else u.encode().decode("latin-1").translate(self._letters) for u in some)
             ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self._dtype)
             ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                raise ValueError("the vocabulary does not mark the ends of words")
+            if len(ends) != len(some) or not len(ends) or ends[-1] != len(ids):
+                out += self._alone(some)  # a word that the vocabulary does not close
+                continue
             raw, size = ids.tobytes(), self._dtype.itemsize
             at = (ends * size).tolist()
             out += [raw[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)]
@@ -317,13 +319,6 @@ def _text_ids(tokenizer_json: str, wide: bool, whole: bool, end: int, special: b
     return held[name] if name in held else held.setdefault(name, TextIds(tokenizer_json, np.uint32 if wide else np.uint16, whole, end, special))
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer_json: str, wide: bool, whole: bool, end: int, special: bool) -> Iterator[pa.RecordBatch]:
-    ids = _text_ids(tokenizer_json, wide, whole, end, special)
-    for batch in batches:
-        for part in by_bytes(batch, "_text"):
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("shard"), ids.of(part.column("_text"))], ["key", "shard", "ids"])
-
-
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes in a column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -357,60 +352,49 @@ def id_bits(spec: dict, end: int) -> int:
     return max(1, max([end, *spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))]).bit_length())
 
 
-def _written(batches: Iterator[pd.DataFrame], folder: str, bits: int, wide: bool, segment: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shard and key; writes a file whenever a shard ends or a segment is full."""
-    shard, seg, held, keys, size, done = None, 0, [], [], 0, []
+def _written(batches: Iterator[pa.RecordBatch], folder: str, tokenizer_json: str, bits: int, whole: bool, end: int, segment: int, special: bool) -> Iterator[pa.RecordBatch]:
+    """Tokenises a shard's rows, which come sorted, and writes a file whenever a segment is full."""
+    wide, shard, seg = bits > 16, TaskContext.get().partitionId(), 0
+    ids, held, keys, size, done = _text_ids(tokenizer_json, wide, whole, end, special), [], [], 0, []
 
     def flush() -> None:
         nonlocal seg, held, keys, size
         if held:
             name = f"{folder}/shard-{shard:05d}-{seg:06d}.awm"
             put(name, encode_segment(np.concatenate(held), bits, {"keys": keys, "lengths": [len(x) for x in held]}))
-            done.append((shard, seg, name, size, len(keys)))
+            done.append({"shard": shard, "seg": seg, "file": name, "n_tokens": size, "n_docs": len(keys)})
             seg, held, keys, size = seg + 1, [], [], 0
 
-    for pdf in batches:
-        for s, key, raw in zip(pdf["shard"], pdf["key"], pdf["ids"], strict=True):
-            x = np.frombuffer(raw, np.uint32 if wide else np.uint16)
-            if s != shard or size + len(x) > segment:
-                flush()
-                if s != shard:
-                    shard, seg = s, 0
-            held.append(x)
-            keys.append(None if pd.isna(key) else int(key))
-            size += len(x)
+    for batch in batches:
+        for part in by_bytes(batch, "_text"):
+            for key, raw in zip(part.column("key").to_pylist(), ids.of(part.column("_text")), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint32 if wide else np.uint16)
+                if held and size + len(x) > segment:
+                    flush()
+                held.append(x)
+                keys.append(key)
+                size += len(x)
     flush()
-    yield pd.DataFrame(done, columns=["shard", "seg", "file", "n_tokens", "n_docs"])
+    schema = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("file", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
+    yield pa.RecordBatch.from_pylist(done, schema)
 
 
 def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END, segment: int = SEGMENT, shard_bytes: int = SHARD_BYTES, special: bool = False) -> DataFrame:
     """Write the ids of every whole text in ascending key order; returns the manifest (shard, seg, file, n_tokens, n_docs).
 
-    The key is a whole number; null keys come last, and rows with equal keys are in order of
-    their ids. Null and empty texts are the end id alone. An empty table writes nothing.
-    special: see TextIds.
+    The key is a whole number; null keys come last, and rows with equal keys are in order of a hash of
+    their texts. Shards are ranges of (key, hash) whose bounds Spark samples, so far-off, null and
+    repeated keys do not pile up in one; each is tokenised and written by one task. Null and empty texts
+    are the end id alone. An empty table writes nothing. special: see TextIds.
     """
     spec = json.loads(tokenizer_json)
-    whole = not drops_white_space(spec)
-    bits = id_bits(spec, end)
-    wide = bits > 16
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("_text"))
-    lo, hi = rows.agg(F.min("key"), F.max("key")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    at = lambda k: F.when(k.isNull(), RANGES).otherwise(F.floor((k - lo).cast("double") / float(hi - lo + 1) * RANGES)).cast("int")
-    weights = rows.groupBy(at(F.col("key")).alias("at")).agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 1).alias("w")).collect()  # at most RANGES + 1 rows
-    shard_of, shard, held = [0] * (RANGES + 1), 0, 0
-    by_range = {r["at"]: r["w"] for r in weights}
-    for k in range(RANGES + 1):
-        w = by_range.get(k, 0)
-        if held and held + w > shard_bytes:
-            shard, held = shard + 1, 0
-        shard_of[k], held = shard, held + w
-    rows = rows.withColumn("shard", F.get(F.array(*map(F.lit, shard_of)), at(F.col("key"))))
+    whole, bits = not drops_white_space(spec), id_bits(spec, end)
+    rows = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
+    total = rows.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    ids = rows.select("key", "shard", "_text").mapInArrow(lambda b: _tokenised(b, held.value, wide, whole, end, special), "key long, shard int, ids binary")
-    placed = ids.repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "ids")
-    return settle(placed.mapInPandas(lambda b: _written(b, folder, bits, wide, segment), "shard int, seg int, file string, n_tokens long, n_docs long"))
+    by = [F.col("key").asc_nulls_last(), F.xxhash64("_text").asc()]
+    placed = rows.repartitionByRange(max(1, min(SHARDS, -(-total // shard_bytes))), *by).sortWithinPartitions(*by)
+    return settle(placed.mapInArrow(lambda b: _written(b, folder, held.value, bits, whole, end, segment, special), "shard int, seg int, file string, n_tokens long, n_docs long"))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -426,7 +410,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """Read the files back: key, start (ids before the document), n_tokens, ids_crc32."""
-    shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # at most RANGES + 1 rows
+    shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # at most SHARDS rows
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before("shard")), F.lit(0)).alias("_before"))
     rows = manifest.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(before("shard", "seg")), F.lit(0)))

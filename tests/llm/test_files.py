@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from aerolith.llm import vectors, warc, wavelet
@@ -83,6 +84,12 @@ def test_matrix_answers(spark):
     assert s.count(1 << 12) == 0
 
 
+def by_key_and_text(row):
+    """Ascending keys, null last, then Spark's hash of the text as a signed number."""
+    h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed=42)
+    return row[0] is None, row[0] or 0, h - (1 << 64) * (h >> 63)
+
+
 def spec(name="word_bpe_49k.json"):
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
         return f.read()
@@ -110,8 +117,7 @@ def test_files_give_the_ids_back(spark, odd, none, name):
     rows = [*odd_rows(), *((700 + i, t, "a") for i, t in enumerate(ODD_TEXTS))]
     t = Tokenizer.from_str(spec(name))
     t.encode_special_tokens = True
-    ids = [(k, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for k, x, _ in rows]
-    ids.sort(key=lambda r: (r[0] is None, r[0] or 0, np.array(r[1], np.uint16).tobytes()))
+    ids = [(k, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for k, x, _ in sorted(rows, key=by_key_and_text)]
     want, start = Counter(), 0
     for k, x in ids:
         want[k, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())] += 1
@@ -125,6 +131,28 @@ def test_files_give_the_ids_back(spark, odd, none, name):
     assert wavelet.round_trip(none, spec(name)).count() == 0
 
 
+def test_far_off_null_and_repeated_keys_do_not_share_a_shard(spark):
+    rows = [(i, f"word{i} " * 10, "a") for i in range(600)] + [(10**15, "far off", "a")] + [(None, f"none {i} " * 10, "a") for i in range(300)] + [(7, f"again {i} " * 10, "b") for i in range(300)]
+    manifest = wavelet.write_ids(frame(spark, rows), spec(), workspace(spark, "test"), shard_bytes=4_000).collect()
+    assert len({r["shard"] for r in manifest}) > 15 and max(r["n_docs"] for r in manifest) < 250
+    back = wavelet.read_ids(spark.createDataFrame(manifest)).orderBy("start").collect()
+    assert [r["key"] for r in back] == [k for k, _, _ in sorted(rows, key=by_key_and_text)]
+
+
+def test_words_that_the_vocabulary_does_not_close():
+    """Without a mark on its last letters a word goes through the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    broken = json.loads(spec())
+    broken["model"]["merges"], vocabulary = [], broken["model"]["vocab"]
+    broken["model"]["vocab"] = {k: v for k, v in vocabulary.items() if not (k.endswith("</w>") and k.startswith("z"))}
+    ids = wavelet.TextIds(json.dumps(broken), np.uint16, False, 1)
+    t = Tokenizer.from_str(json.dumps(broken))
+    t.encode_special_tokens = True
+    for text, got in zip(["fuzz buzz, plain", "zz"], ids.of(pa.array(["fuzz buzz, plain", "zz"])).to_pylist(), strict=True):
+        assert list(np.frombuffer(got, np.uint16)) == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("sha", F.lit("clash")).withColumn("key", F.lit(0))
 

@@ -13,6 +13,7 @@ import corpus_pipeline
 from aerolith.llm import packing, pii, queries
 
 from llm_cases import frame, odd_rows
+from test_files import by_key_and_text
 from test_native import WORD, brute_targets
 from test_text import brute_classes
 
@@ -81,7 +82,7 @@ def test_surrogates_of_whole_mentions(spark, folder):
 
 
 def test_ids_by_the_defaults(spark, folder):
-    rows = sorted(((i, ids(t)) for i, t, _ in [*odd_rows(), *DENSE, *PRIVATE]), key=lambda r: (r[0] is None, r[0] or 0, np.array(r[1], np.uint16).tobytes()))
+    rows = [(i, ids(t)) for i, t, _ in sorted([*odd_rows(), *DENSE, *PRIVATE], key=by_key_and_text)]
     want, start = Counter(), 0
     for k, x in rows:
         want[k, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())] += 1
