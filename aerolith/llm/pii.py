@@ -1,8 +1,10 @@
-"""Surrogates for personal data: keyed, of the same type and format, distinct and coreferent.
+"""Surrogates for personal data: keyed, of the same type, format and script, distinct and coreferent.
 
-All of it is DataFrame expressions. One pattern finds all mentions; each has a type and a normal
-form, and equal normal forms share one surrogate everywhere. Surrogates come from a keyed
-digest; those that meet another surrogate or any original are drawn again.
+All of it is DataFrame expressions. One pass of one pattern cuts a text into what is clear and what is
+a mention; each mention has a type and a normal form, and equal normal forms share one surrogate everywhere.
+Surrogates come from a keyed digest; those that meet another surrogate or any original are drawn
+again, and grow when a format has no room left. In the clear parts of a text, names that an honorific has
+told there are found again.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import fresh, settle
+from aerolith.llm.common import fresh, settle, workspace
 from aerolith.llm.quality import row_hash
 
 #: Honorifics by the gender that they tell.
@@ -27,28 +29,48 @@ GIVEN = {
     ("cyrillic", "m"): ("Борис", "Виктор", "Глеб", "Денис", "Иван", "Максим", "Олег", "Фёдор"),
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Юлия"),
     ("cyrillic", "n"): ("Женя", "Саша", "Валя", "Слава"),
+    ("greek", "m"): ("Γιώργος", "Νίκος", "Πέτρος", "Σταύρος"),
+    ("greek", "f"): ("Ελένη", "Μαρία", "Σοφία", "Χριστίνα"),
+    ("greek", "n"): ("Φάνη", "Ζωή"),
 }
 #: Letters that family names are put together from.
-FAMILY = {"latin": (tuple("bdfgklmnprstvwz"), tuple("aeiou")), "cyrillic": (tuple("бвгдзклмнпрст"), tuple("аеиоу"))}
+FAMILY = {"latin": (tuple("bdfgklmnprstvwz"), tuple("aeiou")), "cyrillic": (tuple("бвгдзклмнпрст"), tuple("аеиоу")), "greek": (tuple("βγδζκλμνπρστφχ"), tuple("αειο"))}
+#: Scripts by a class of Java's patterns: the first of a run of letters, and how many there are.
+SCRIPTS = {
+    "IsCyrillic": (0x430, 32), "IsGreek": (0x3B1, 17), "IsHan": (0x4E00, 20_000), "IsHiragana": (0x3042, 82), "IsKatakana": (0x30A2, 82), "IsHangul": (0xAC00, 11_172), "IsArabic": (0x628, 19),
+    "IsHebrew": (0x5D0, 27), "IsDevanagari": (0x915, 37), "IsThai": (0xE01, 46), "IsArmenian": (0x561, 38), "IsGeorgian": (0x10D0, 33),
+}
+#: Countries whose account numbers are IBANs.
+IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
 
 LOCAL = r"[\p{L}\p{M}\p{N}._%+\-]"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME_WORD = r"\p{Lu}[\p{L}\p{M}'’\-]+"
+#: A capitalised word, with an apostrophe before a capital only (so no possessive), or a few letters of a script without case.
+NAME_WORD = r"(?:\p{Lu}(?:[\p{L}\p{M}\-]|['’](?=\p{Lu}))+|[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]{1,6}+)"
 #: What may stand before a word of a name: lower-case particles and initials.
 PARTICLE = r"(?:van(?: de[rn]?)?|von(?: und zu| de[rmn])?|de(?: l[ao]s?)?|del|della|dei|di|da|dos?|du|ter|ten|bin|ibn|al|el|y)"
 BEFORE = rf"(?:(?:{PARTICLE}|\p{{Lu}}\.?) )*+"
+TITLES = [x for v in HONORIFICS.values() for x in v]
+HEX = "[0-9a-fA-F]{1,4}"
+IP6 = rf"{HEX}(?::{HEX}){{7}}|(?=[0-9a-fA-F:]*\d)(?:{HEX}(?::{HEX}){{0,6}}::(?:{HEX}(?::{HEX}){{0,6}})?|::{HEX}(?::{HEX}){{1,6}})"
 #: What counts as a mention, the first that fits; each starts where no longer one could.
 PATTERNS = {
     "email": rf"(?<!{LOCAL}){LOCAL}++@[\p{{L}}\p{{N}}\-]+(?:\.[\p{{L}}\p{{N}}\-]+)+",
     "hex": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(IBAN_COUNTRIES)})\d{{2}}(?=(?: ?[A-Z]*\d){{10}})(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:{IP6})(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d.\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?![\d\-])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(x for v in HONORIFICS.values() for x in v)})\.? {BEFORE}{NAME_WORD}(?: {BEFORE}{NAME_WORD})*+",
+    "name": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {BEFORE}{NAME_WORD}(?: {BEFORE}{NAME_WORD})*+",
+    # among capitals only, two words are taken for the name: where it ends cannot be seen
+    "shouted": rf"(?<![\p{{L}}])(?:{'|'.join(x.upper() for x in TITLES)})\.? (?:\p{{Lu}}\.? )?[\p{{Lu}}\-]{{2,}}+(?: [\p{{Lu}}\-]{{2,}}+)?(?![\p{{L}}])",
 }
 #: A text without any of these holds no mention.
-GATE = rf"[0-9@]|(?:{'|'.join(x for v in HONORIFICS.values() for x in v)})\.? (?:\p{{Lu}}|{PARTICLE} )"
+GATE = rf"[0-9@]|(?:{'|'.join(TITLES + [x.upper() for x in TITLES])})\.? (?:\p{{Lu}}|\p{{Lo}}|{PARTICLE} )"
+#: A code point that is no character: it stands around mentions while a text is cut.
+MARK = "\ufdd0"
 
 
 def any_pattern() -> str:
@@ -58,10 +80,11 @@ def any_pattern() -> str:
 def kind_of(m: Column) -> Column:
     """Type of a mention that the common pattern has found."""
     kind = F.when(m.contains("@"), "email").when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "hex").when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+    kind = kind.when(m.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F]*:[0-9a-fA-F:]*$"), "ip6").when(m.rlike(r"^[A-Z]{2}\d{2} ?[A-Z0-9]"), "iban")
     kind = kind.when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}$"), "card")
     kind = kind.when(m.startswith("+"), "phone_intl").when(m.rlike(r"^[(\d]"), "phone")
     for gender, titles in HONORIFICS.items():
-        kind = kind.when(m.rlike(rf"^(?:{'|'.join(titles)})\.? "), f"name_{gender}")
+        kind = kind.when(m.rlike(rf"(?iu)^(?:{'|'.join(titles)})\.? "), f"name_{gender}")
     return kind
 
 
@@ -70,12 +93,18 @@ def merged(kind: Column) -> Column:
     return F.when(kind.startswith("name"), "name").otherwise(kind)
 
 
+def bare_name(m: Column) -> Column:
+    """A name's mention without its honorific."""
+    return F.regexp_replace(m, r"^\S+ ", "")
+
+
 def normal_form(m: Column, kind: Column) -> Column:
     """What mentions of one thing have in common."""
     return (
-        F.when(kind.isin("email", "hex"), F.lower(m))
+        F.when(kind.isin("email", "hex", "ip6"), F.lower(m))
         .when(kind == "ip", m)
-        .when(kind.startswith("name"), F.lower(F.regexp_replace(m, r"^\S+ ", "")))
+        .when(kind == "iban", F.regexp_replace(m, " ", ""))
+        .when(kind.startswith("name"), F.lower(bare_name(m)))
         .otherwise(F.regexp_replace(m, r"[^0-9]", ""))
     )
 
@@ -91,76 +120,126 @@ def byte_at(digest: Column, i: Column | int) -> Column:
     return F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def letter_at(first: int, n: int, digest: Column, i: Column) -> Column:
+    """One of n letters from code point `first` on, by two bytes of a digest."""
+    code = F.lit(first) + (byte_at(digest, i) * 251 + byte_at(digest, F.when(i > 0, i - 1).otherwise(i + 1))) % n
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+
 def disguised(text: Column, digest: Column) -> Column:
     """Digits for digits and letters for letters of the same script, all else as it is."""
 
     def one(c: Column, i: Column) -> Column:
         b = byte_at(digest, i)
         letter = lambda a, n: F.substring(F.lit(a), b % n + 1, F.lit(1))
-        return F.when(c.rlike(r"^\d$"), letter("0123456789", 10)).when(c.rlike(r"^[\p{IsCyrillic}]$"), letter("абвгдежзиклмнопрстуфхцчшэюя", 27)).when(c.rlike(r"^\p{L}$"), letter("abcdefghijklmnopqrstuvwxyz", 26)).otherwise(c)
+        out = F.when(c.rlike(r"^\d$"), letter("0123456789", 10)).when(c.rlike(r"^\p{IsLatin}$"), letter("abcdefghijklmnopqrstuvwxyz", 26))
+        for script, (first, n) in SCRIPTS.items():
+            out = out.when(c.rlike(rf"^\p{{{script}}}$"), letter_at(first, n, digest, i))
+        return out.when(c.rlike(r"^\p{L}$"), letter("abcdefghijklmnopqrstuvwxyz", 26)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _name(norm: Column, gender: str, seed: Column) -> Column:
-    """A lower-case name, with a given name if the normal form has more than a word."""
+def luhn_digit(digits: Column) -> Column:
+    """The check digit that makes the digits and it valid."""
+    step = lambda a, c: F.struct((a["s"] + F.when(a["i"] % 2 == 1, c.cast("int")).when(c.cast("int") > 4, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int"))).alias("s"), (a["i"] + 1).alias("i"))
+    total = F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("s"), F.lit(0).alias("i")), step, lambda a: a["s"])
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def iban_check(country: Column, rest: Column) -> Column:
+    """The two check digits of an account number: 98 less the remainder by 97, letters being 10 to 35."""
+    value = lambda c: F.ascii(c) - F.when(c.rlike("^[0-9]$"), 48).otherwise(55)
+    left = F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + value(c)) % 97)
+    return F.lpad((98 - left).cast("string"), 2, "0")
+
+
+def _name(norm: Column, gender: str, seed: Column, extra: int) -> Column:
+    """A lower-case name of the script, with a given name if the normal form has more than a word; family names that are the same stay so."""
     parts = F.split(norm, " ")
     last, two = F.element_at(parts, -1), F.size(parts) > 1
-    by_script = []
-    for script in ("cyrillic", "latin"):
-        given = F.sha2(F.concat_ws("|", seed, F.element_at(parts, 1)).cast("binary"), 256)
-        family = F.sha2(F.concat_ws("|", seed, F.lower(last)).cast("binary"), 256)
+    given, family = (F.sha2(F.concat_ws("|", seed, x).cast("binary"), 256) for x in (F.element_at(parts, 1), last))
+    pick = lambda names, b: F.get(F.array(*map(F.lit, names)), b % len(names))
+
+    def of(script: str) -> Column:
         consonants, vowels = FAMILY[script]
-        pick = lambda names, b: F.get(F.array(*map(F.lit, names)), b % len(names))
-        sounds = F.concat(*[pick(s, byte_at(family, 2 * i + j)) for i in range(4) for j, s in enumerate((consonants, vowels))])
-        by_script.append(F.concat(F.when(two, F.concat(F.lower(pick(GIVEN[script, gender], byte_at(given, 0))), F.lit(" "))).otherwise(""), sounds))
-    return F.when(norm.rlike(r"\p{IsCyrillic}"), by_script[0]).otherwise(by_script[1])
+        sounds = F.concat(*[pick(s, byte_at(family, 2 * i + j)) for i in range(min(4 + extra, 15)) for j, s in enumerate((consonants, vowels))])
+        return F.concat(F.when(two, F.concat(F.lower(pick(GIVEN[script, gender], byte_at(given, 0))), F.lit(" "))).otherwise(""), sounds)
+
+    whole = stream(F.concat_ws("|", seed, norm), F.char_length(norm) + extra)
+    others = disguised(F.concat(norm, F.repeat(F.substring(last, 1, 1), F.lit(extra))), whole)
+    return F.when(norm.rlike(r"^[^\p{L}]*\p{IsLatin}"), of("latin")).when(norm.rlike(r"^[^\p{L}]*\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"^[^\p{L}]*\p{IsGreek}"), of("greek")).otherwise(others)
+
+
+#: Draws before a surrogate grows by a letter, a digit or a syllable, and after which it grows by one more.
+ROOM = 6
 
 
 def surrogate(kind: Column, norm: Column, secret: str, draw: int) -> Column:
-    """Surrogate of a normal form; another for each draw."""
-    seed = F.concat_ws("|", F.lit(secret), kind, F.lit(str(draw)))
-    whole = stream(F.concat_ws("|", seed, norm), F.char_length(norm))
+    """Surrogate of a normal form; another for each draw, a longer one after every ROOM draws."""
+    extra = draw // ROOM
+    seed = F.concat_ws("|", F.lit(secret), merged(kind), F.lit(str(draw)))
+    whole = stream(F.concat_ws("|", seed, norm), F.char_length(norm) + extra)
     at = F.substring_index(norm, "@", 1)
     domain = F.substring_index(norm, "@", -1)
     head, top = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
-    digits = disguised(norm, whole)
+    longer = lambda text, c: F.concat(text, F.lit(c * extra)) if extra else text
+    digits = disguised(longer(norm, "0"), whole)
     first = F.substring(norm, 1, 1)
+    local = F.concat(at, F.repeat(F.regexp_extract(at, r"[\p{L}\d]", 0), F.lit(extra))) if extra else at
+    # addresses that are never given out: 240.0.0.0/4; once they are short, any
+    top_octet = byte_at(whole, 0) % 16 + 240 if draw < 4 * ROOM else byte_at(whole, 0) % 255 + 1
+    groups = F.regexp_replace(F.substring(whole, F.lit(1), F.char_length(norm)), "^..", "fd")
+    six = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(groups, i + 1, F.lit(1)))), "")
+    # a short address has room for few others: it becomes one with more digits
+    six = F.when((F.char_length(norm) >= 10) & F.lit(draw < ROOM), six).otherwise(F.concat(F.lit("fd"), F.substring(whole, 3, 2), *[F.concat(F.lit(":"), F.substring(whole, 5 + 4 * i, 4)) for i in range(min(1 + extra, 5))], F.lit("::"), F.substring(whole, 29, 4)))
+    rest = F.upper(disguised(F.lower(F.substring(longer(norm, "0"), F.lit(5), F.char_length(norm) + extra)), whole))
+    country = F.substring(norm, 1, 2)
+    card = F.concat(first, F.substring(digits, F.lit(2), F.char_length(norm) + extra - 2))
     out = (
-        F.when(kind == "email", F.concat(disguised(at, whole), F.lit("@"), disguised(head, stream(F.concat_ws("|", F.lit(secret), F.lit("domain"), domain), F.char_length(head))), F.lit("."), top))
+        F.when(kind == "email", F.concat(disguised(local, whole), F.lit("@"), disguised(head, stream(F.concat_ws("|", F.lit(secret), F.lit("domain"), domain), F.char_length(head))), F.lit("."), top))
         .when(kind == "hex", F.substring(whole, F.lit(1), F.char_length(norm)))
-        # addresses that are never given out: 240.0.0.0/4
-        .when(kind == "ip", F.concat_ws(".", byte_at(whole, 0) % 16 + 240, byte_at(whole, 1), byte_at(whole, 2), byte_at(whole, 3)))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.char_length(norm))))
-        .when(kind.isin("card", "phone_intl"), F.concat(first, F.substring(digits, F.lit(2), F.char_length(norm))))
+        .when(kind == "ip", F.concat_ws(".", top_octet, byte_at(whole, 1), byte_at(whole, 2), byte_at(whole, 3)))
+        .when(kind == "ip6", six)
+        .when(kind == "iban", F.concat(country, iban_check(country, rest), rest))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.char_length(norm) + extra)))
+        .when(kind == "card", F.concat(card, luhn_digit(card)))
+        .when(kind == "phone_intl", F.concat(first, F.substring(digits, F.lit(2), F.char_length(norm) + extra)))
     )
     for gender in HONORIFICS:
-        out = out.when(kind == f"name_{gender}", _name(norm, gender, seed))
+        out = out.when(kind == f"name_{gender}", _name(norm, gender, seed, extra))
     return out.otherwise(digits)
 
 
+def name_cased(mention: Column, shape: Column) -> Column:
+    return F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(shape)).otherwise(F.initcap(shape))
+
+
 def rendered(m: Column, kind: Column, shape: Column) -> Column:
-    """The surrogate in the format of the mention: its case, or its separators around the digits."""
+    """The surrogate in the format of the mention: its case, or its separators around the digits; what it is longer stands at the end."""
     cased = F.when((F.upper(m) == m) & (F.lower(m) != m), F.upper(shape)).otherwise(shape)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+    # an account number has letters among its digits
+    slot = lambda c: c.rlike(r"^\d$") | ((kind == "iban") & c.rlike("^[A-Z]$"))
 
     def step(a: Column, c: Column) -> Column:
-        digit = c.rlike(r"^\d$")
-        return F.struct(F.concat(a["out"], F.when(digit, F.substring(shape, a["k"], F.lit(1))).otherwise(c)).alias("out"), (a["k"] + digit.cast("int")).alias("k"))
+        return F.struct(F.concat(a["out"], F.when(slot(c), F.substring(shape, a["k"], F.lit(1))).otherwise(c)).alias("out"), (a["k"] + slot(c).cast("int")).alias("k"))
 
-    title, name = F.regexp_extract(m, r"^\S+ ", 0), F.regexp_replace(m, r"^\S+ ", "")
-    named = F.concat(title, F.when((F.upper(name) == name) & (F.lower(name) != name), F.upper(shape)).otherwise(F.initcap(shape)))
-    filled = F.aggregate(F.split(m, ""), start, step, lambda a: a["out"])
-    return F.when(kind.isin("email", "hex"), cased).when(kind == "ip", shape).when(kind.startswith("name"), named).otherwise(filled)
+    filled = F.aggregate(F.split(m, ""), start, step, lambda a: F.concat(a["out"], F.substring(shape, a["k"], F.char_length(shape))))
+    named = F.concat(F.regexp_extract(m, r"^\S+ ", 0), name_cased(bare_name(m), shape))
+    return F.when(kind.isin("email", "hex", "ip6"), cased).when(kind == "ip", shape).when(kind.startswith("name"), named).otherwise(filled)
 
 
-def surrogate_table(entities: DataFrame, secret: str, most_draws: int = 50) -> DataFrame:
-    """(kind, norm) with a surrogate each: no two share one in a kind, none is any entity's own normal form."""
+def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
+    """(kind, norm) with a surrogate each: no two share one in a kind, none is any entity's own normal form.
+
+    Draws go on until all have one; as they grow longer, a few more rounds serve any number of entities.
+    """
     entities = settle(entities.select("kind", "norm").distinct())
     family = F.regexp_replace("kind", "_.*$", "")
     originals = entities.select(family.alias("family"), F.col("norm").alias("shape")).distinct()
-    open_, done = entities, None
-    for draw in range(most_draws):
+    open_, done, draw = entities, None, 0
+    while True:
         drawn = open_.withColumn("shape", surrogate(F.col("kind"), F.col("norm"), secret, draw)).withColumn("family", family)
         free = drawn.join(originals, ["family", "shape"], "left_anti")
         if done is not None:
@@ -171,7 +250,22 @@ def surrogate_table(entities: DataFrame, secret: str, most_draws: int = 50) -> D
         open_ = settle(entities.join(done.select("kind", "norm"), ["kind", "norm"], "left_anti"))
         if open_.isEmpty():
             return done.select("kind", "norm", "shape")
-    raise RuntimeError(f"no free surrogates after {most_draws} draws: more entities than their format has room for")
+        draw += 1
+
+
+def cut(text: Column) -> Column:
+    """A text as clear parts and mentions by turns, clear ones at both ends, by one pass of the pattern."""
+    pattern = any_pattern()
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    # a text that holds the mark itself is cut in two passes
+    pieces, found = F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+    slow = F.flatten(F.zip_with(pieces, found, lambda a, b: F.array(a, b)))
+    return F.when(~text.contains(MARK), marked).otherwise(F.slice(slow, F.lit(1), F.size(slow) - 1))
+
+
+def _turns(parts: Column, odd: bool) -> Column:
+    """Mentions (odd) or clear parts of a cut text."""
+    return F.filter(parts, lambda _, i: i % 2 == int(odd))
 
 
 def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,24 +274,37 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
     Other columns stay. Null texts stay null and hold no mentions. Repeated rows are rewritten alike.
     An empty table gives an empty result. The same secret gives the same surrogates
     (unless new originals take one up, or new mentions of a name tell another gender).
-    A name is one entity under all its honorifics, in any case; its gender is the one they tell.
+    A name is one entity under all its honorifics, in any case; its gender is the one they tell. Where a text
+    names somebody with an honorific, the whole name and its last word are replaced in the rest of the text too.
     """
-    h, found, swaps, count = fresh(docs, "_row", "_found", "_swaps", "n_entities")
-    pattern = any_pattern()
+    h, parts, swaps, own, count = fresh(docs, "_row", "_parts", "_swaps", "_own", "n_entities")
     gated = F.coalesce(docs[text].rlike(GATE), F.lit(False))
-    held = docs.where(gated).withColumn(h, row_hash(docs[key], docs[text]))
-    mentions = held.select(F.col(h).alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("m"))
+    held = docs.where(gated).withColumn(h, row_hash(docs[key], docs[text])).withColumn(parts, cut(docs[text])).drop(text)
+    # written, so that the pattern runs once over each text
+    path = workspace(docs.sparkSession, "cut")
+    held.toDF(*[f"c{i}" for i in range(len(held.columns))]).write.mode("overwrite").parquet(path)
+    held = docs.sparkSession.read.parquet(path).toDF(*held.columns)
+    mentions = held.select(F.col(h).alias("row"), F.explode(F.array_distinct(_turns(F.col(parts), True))).alias("m"))
     mentions = settle(mentions.distinct().withColumn("kind", kind_of(F.col("m"))).withColumn("norm", normal_form(F.col("m"), F.col("kind"))))
     # a name's mentions tell one gender, or none or both: then it is neutral
     told = mentions.groupBy(merged(F.col("kind")).alias("kind"), "norm").agg(F.bool_or(F.col("kind") == "name_m").alias("m"), F.bool_or(F.col("kind") == "name_f").alias("f"))
     kind = F.when(F.col("kind") != "name", F.col("kind")).when(F.col("m") & ~F.col("f"), "name_m").when(F.col("f") & ~F.col("m"), "name_f").otherwise("name_n")
     table = surrogate_table(told.select(kind.alias("kind"), "norm"), secret).withColumn("kind", merged(F.col("kind")))
-    mentions = mentions.withColumn("kind", merged(F.col("kind")))
-    swapped = mentions.join(table, ["kind", "norm"]).select("row", "m", rendered(F.col("m"), F.col("kind"), F.col("shape")).alias("s"))
-    by_row = swapped.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("m", "s"))).alias(swaps)).withColumnRenamed("row", h)
-    joined = held.join(by_row, h, "left").withColumn(found, F.when(F.col(swaps).isNotNull(), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    pieces = F.split(F.col(text), pattern, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform(F.col(found), lambda m: F.col(swaps)[m]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    rewritten = joined.withColumn(text, F.when(F.col(swaps).isNotNull(), whole).otherwise(F.col(text))).withColumn(count, F.coalesce(F.size(found), F.lit(0)).cast("long"))
+    mentions = settle(mentions.withColumn("kind", merged(F.col("kind"))).join(table, ["kind", "norm"]))
+    swapped = mentions.select("row", "m", rendered(F.col("m"), F.col("kind"), F.col("shape")).alias("s"))
+    # names without their honorific: whole, and the last word, as they stand there and in capitals
+    name, last = bare_name(F.col("m")), F.element_at(F.split(bare_name(F.col("m")), " "), -1)
+    family = F.element_at(F.split("shape", " "), -1)
+    bare = mentions.where("kind = 'name'").select("row", F.explode(F.array(*[F.struct(v.alias("m"), x.alias("shape")) for f in (lambda c: c, F.upper) for v, x in ((f(name), F.col("shape")), (f(last), family))])).alias("v")).select("row", "v.*")
+    bare = bare.where(F.char_length("m") > 2).groupBy("row", "m").agg(F.min("shape").alias("shape"))
+    bare = bare.select("row", "m", name_cased(F.col("m"), F.col("shape")).alias("s"))
+    longest = F.array_join(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct(F.char_length("m").alias("n"), "m")))), lambda x: F.concat(F.lit(r"\Q"), x["m"], F.lit(r"\E"))), "|")
+    again = bare.groupBy("row").agg(F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), longest, F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias(own))
+    by_row = swapped.unionByName(bare).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("m", "s"))).alias(swaps)).join(again, "row", "left").withColumnRenamed("row", h)
+    joined = held.join(by_row, h, "left")
+    finer = F.flatten(F.transform(parts, lambda p, i: F.when((i % 2 == 0) & ~p.contains(MARK), F.split(F.regexp_replace(p, F.col(own), F.lit(f"{MARK}$0{MARK}")), MARK, -1)).otherwise(F.array(p))))
+    joined = joined.withColumn(parts, F.when(F.col(own).isNotNull(), finer).otherwise(F.col(parts)))
+    whole = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.col(swaps)[p], p)).otherwise(p)), "")
+    rewritten = joined.withColumn(text, F.when(F.col(swaps).isNull(), F.array_join(parts, "")).otherwise(whole)).withColumn(count, F.expr(f"size(`{parts}`) div 2").cast("long"))
     untouched = docs.where(~gated).withColumn(count, F.lit(0).cast("long"))
     return rewritten.select(*docs.columns, count).unionByName(untouched)

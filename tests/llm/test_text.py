@@ -1,5 +1,6 @@
 """Classifier, near-duplicate join, surrogates and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -270,12 +271,55 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     rows = pii.surrogate_table(entities, "k").collect()
     shapes = [r["shape"] for r in rows]
     assert len(rows) == 340 and len(set(shapes)) == 340 and not {r["norm"] for r in rows} & set(shapes)
-
-
-def test_capacity_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate", lambda k, n, s, d: F.lit("same"))
-    with pytest.raises(RuntimeError):
-        pii.surrogate_table(spark.createDataFrame([("card", "1"), ("card", "2")], "kind string, norm string"), "k", 2)
+    assert all(luhn(r["shape"]) for r in rows if r["kind"] == "card" and r["shape"] != "1000000000000001")
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban(text):
+    x = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_small_formats_grow_and_all_stay_distinct(spark):
+    """Formats with less room than entities, by brute force: distinct, no original, equal for equal mentions."""
+    mails = [f"{c}@x.de" for c in "abcdefghijklmnopqrstuvwxyzéèüö"]
+    sixes = [f"fe80::{i:x}" for i in range(20)]
+    cards = [f"4{i:012d}" for i in range(30)]
+    rows = [(i, f"to {m} and {m.upper()}; at {six}, pay {card}.", "a") for i, (m, six, card) in enumerate(itertools.zip_longest(mails, sixes, cards, fillvalue="none"))]
+    seen, originals = defaultdict(dict), set(mails + sixes + cards)
+    for r in pii.replace_entities(frame(spark, rows + [(100 + i, t, "b") for i, t, _ in rows]), "k").collect():
+        m, up, six, card = re.fullmatch(r"to (\S+) and (\S+); at (\S+), pay (\S+)\.", r["text"]).groups()
+        assert up == m.upper()
+        for kind, value in (("mail", m), ("six", six), ("card", card)):
+            assert seen[kind].setdefault(r["doc_id"] % 100, value) == value and (value == "none" or value not in originals)
+    for kind, values in seen.items():
+        some = [v for v in values.values() if v != "none"]
+        assert len(some) == len(set(some)), kind
+    assert all(luhn(v) for v in seen["card"].values() if v != "none")
+
+
+def test_one_person_has_one_surrogate(spark):
+    rows = [
+        (1, "Mr John Smith met Dr John Smith. Mr. John Smith's car, MR JOHN SMITH, John Smith; Smith said so, and SMITH. Smithson did not.", "a"),
+        (2, "Prof Smith is here, and a smith", "a"),
+        (3, "Mrs Ελένη Παππά, Herr Иван Петров, Dr 李明 and μαρια@παράδειγμα.gr, 李@例子.cn", "b"),
+        (4, "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000 at 2001:0db8:85a3:0000:0000:8a2e:0370:7334. 12:30:45 std::vector \ufdd0 x@y.org", "b"),
+        (5, "Mr Ian O'Neill's and Mr Ian O'Neill", "b"),
+    ]
+    by = {r["doc_id"]: r["text"] for r in pii.replace_entities(frame(spark, rows), "k").collect()}
+    a = re.fullmatch(r"Mr (\w+ \w+) met Dr (\w+ \w+)\. Mr\. (\w+ \w+)'s car, MR (\w+ \w+), (\w+ \w+); (\w+) said so, and (\w+)\. Smithson did not\.", by[1]).groups()
+    assert len(set(a[:3])) == 1 and a[3] == a[0].upper() and a[4] == a[0] and a[5] == a[0].split()[1] and a[6] == a[5].upper()
+    assert a[0].split()[0] in pii.GIVEN["latin", "m"] and re.fullmatch(rf"Prof {a[5]} is here, and a smith", by[2])
+    greek, russian, chinese, mail, other = re.fullmatch(r"Mrs (.+), Herr (.+), Dr (.+) and (.+)\.gr, (.+)\.cn", by[3]).groups()
+    assert re.fullmatch("[α-ωά-ώΑ-Ωϊ]+ [α-ωΑ-Ω]+", greek) and greek.split()[0] in pii.GIVEN["greek", "f"] and re.fullmatch("[А-Яа-яё]+ [А-Яа-я]+", russian)
+    assert re.fullmatch("[\u4e00-\u9fff]{2}", chinese) and re.fullmatch("[α-ω]+@[α-ω]+", mail) and re.fullmatch("[\u4e00-\u9fff]@[\u4e00-\u9fff]{2}", other)
+    x, y, six, rest = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}) at (fd[0-9a-f:]+)\. 12:30:45 std::vector \ufdd0 (\w)@\w\.org", by[4]).groups()
+    assert x.replace(" ", "") == y != "DE89370400440532013000" and iban(y) and [len(g) for g in six.split(":")] == [4] * 8
+    m = re.fullmatch(r"Mr (\w+ \w+)'s and Mr (\w+ \w+)", by[5])
+    assert m and m[1] == m[2]
 
 
 def test_pipeline(spark, tmp_path):
