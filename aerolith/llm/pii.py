@@ -67,14 +67,23 @@ PATTERNS = {
     # among capitals only, two words are taken for the name: where it ends cannot be seen
     "shouted": rf"(?<![\p{{L}}])(?:{'|'.join(x.upper() for x in TITLES)})\.? (?:\p{{Lu}}\.? )?[\p{{Lu}}\-]{{2,}}+(?: [\p{{Lu}}\-]{{2,}}+)?(?![\p{{L}}])",
 }
-#: A text without any of these holds no mention.
-GATE = rf"[0-9@]|(?:{'|'.join(TITLES + [x.upper() for x in TITLES])})\.? (?:\p{{Lu}}|\p{{Lo}}|{PARTICLE} )"
+INITIALS = "".join(sorted({x[0] for x in TITLES}))
+#: What a mention starts with, looked at before anything else.
+STARTS = {"hex": "[0-9a-fA-F]", "iban": "[A-Z]{2}[0-9]", "ip6": "[0-9a-fA-F]{0,4}:", "ip": "[0-9]", "phone": "[0-9(+]", "ssn": "[0-9]", "card": "[0-9]", "name": f"[{INITIALS}]", "shouted": rf"[{INITIALS}]\p{{Lu}}"}
+#: A text without a digit, an @ or one of these holds no mention.
+TITLED = rf"(?=[{INITIALS}])(?:{'|'.join(TITLES + [x.upper() for x in TITLES])})\.? (?:\p{{Lu}}|\p{{Lo}}|{PARTICLE} )"
 #: A code point that is no character: it stands around mentions while a text is cut.
 MARK = "\ufdd0"
 
 
-def any_pattern() -> str:
-    return "|".join(f"(?:{p})" for p in PATTERNS.values())
+def any_pattern(digits: bool = True, at: bool = True) -> str:
+    """All that may be a mention in a text with (or without) digits and @."""
+    kinds = [k for k in PATTERNS if (at or k != "email") and (digits or k in ("email", "name", "shouted"))]
+    return "|".join(f"(?={STARTS[k]})(?:{PATTERNS[k]})" if k in STARTS else f"(?:{PATTERNS[k]})" for k in kinds)
+
+
+def has_digits(text: Column) -> Column:
+    return text.rlike("[0-9]")
 
 
 def kind_of(m: Column) -> Column:
@@ -114,30 +123,26 @@ def stream(seed: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.shiftright(n.cast("int"), 5)), lambda j: F.sha2(F.concat_ws("|", seed, j.cast("string")).cast("binary"), 256)), "")
 
 
-def byte_at(digest: Column, i: Column | int) -> Column:
-    """Byte i (from 0) of a hexadecimal digest."""
-    i = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
+def byte_at(digest: str, i: int | str) -> str:
+    """SQL: byte i (from 0) of a hexadecimal digest."""
+    return f"CAST(conv(substring({digest}, ({i}) * 2 + 1, 2), 16, 10) AS INT)"
 
-def letter_at(first: int, n: int, digest: Column, i: Column) -> Column:
-    """One of n letters from code point `first` on, by two bytes of a digest."""
-    code = F.lit(first) + (byte_at(digest, i) * 251 + byte_at(digest, F.when(i > 0, i - 1).otherwise(i + 1))) % n
-    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
 
+def pick(names: tuple[str, ...], byte: str) -> str:
+    """SQL: one of the names, by a byte."""
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"get(array({listed}), {byte} % {len(names)})"
 
-def disguised(text: Column, digest: Column) -> Column:
-    """Digits for digits and letters for letters of the same script, all else as it is."""
 
-    def one(c: Column, i: Column) -> Column:
-        b = byte_at(digest, i)
-        letter = lambda a, n: F.substring(F.lit(a), b % n + 1, F.lit(1))
-        out = F.when(c.rlike(r"^\d$"), letter("0123456789", 10)).when(c.rlike(r"^\p{IsLatin}$"), letter("abcdefghijklmnopqrstuvwxyz", 26))
-        for script, (first, n) in SCRIPTS.items():
-            out = out.when(c.rlike(rf"^\p{{{script}}}$"), letter_at(first, n, digest, i))
-        return out.when(c.rlike(r"^\p{L}$"), letter("abcdefghijklmnopqrstuvwxyz", 26)).otherwise(c)
-
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+def disguised(text: str, digest: str) -> Column:
+    """Digits for digits and letters for letters of the same script, all else as it is (columns by their names)."""
+    b, other = byte_at(digest, "i"), byte_at(digest, "if(i > 0, i - 1, i + 1)")
+    latin = f"substring('abcdefghijklmnopqrstuvwxyz', {b} % 26 + 1, 1)"
+    # letters of a run of code points, by two bytes
+    far = " ".join(f"WHEN c rlike r'^\\p{{{script}}}$' THEN decode(unhex(lpad(hex({first} + ({b} * 251 + {other}) % {n}), 4, '0')), 'UTF-16BE')" for script, (first, n) in SCRIPTS.items())
+    one = f"""CASE WHEN c BETWEEN '0' AND '9' THEN CAST({b} % 10 AS STRING) WHEN c BETWEEN 'a' AND 'z' OR c BETWEEN 'A' AND 'Z' THEN {latin} WHEN c < '\u0080' THEN c
+        WHEN c rlike r'^\\p{{IsLatin}}$' THEN {latin} {far} WHEN c rlike r'^\\p{{L}}$' THEN {latin} ELSE c END"""
+    return F.expr(f"array_join(transform(split({text}, ''), (c, i) -> {one}), '')")
 
 
 def luhn_digit(digits: Column) -> Column:
@@ -154,61 +159,68 @@ def iban_check(country: Column, rest: Column) -> Column:
     return F.lpad((98 - left).cast("string"), 2, "0")
 
 
-def _name(norm: Column, gender: str, seed: Column, extra: int) -> Column:
-    """A lower-case name of the script, with a given name if the normal form has more than a word; family names that are the same stay so."""
-    parts = F.split(norm, " ")
-    last, two = F.element_at(parts, -1), F.size(parts) > 1
-    given, family = (F.sha2(F.concat_ws("|", seed, x).cast("binary"), 256) for x in (F.element_at(parts, 1), last))
-    pick = lambda names, b: F.get(F.array(*map(F.lit, names)), b % len(names))
+def _name(gender: str, extra: int) -> str:
+    """SQL: a lower-case name of the script of norm, with a given name if it has more than a word; family names that are the same stay so.
+
+    _g and _f are digests of its first and last word, _b is the name disguised.
+    """
 
-    def of(script: str) -> Column:
+    def of(script: str) -> str:
         consonants, vowels = FAMILY[script]
-        sounds = F.concat(*[pick(s, byte_at(family, 2 * i + j)) for i in range(min(4 + extra, 15)) for j, s in enumerate((consonants, vowels))])
-        return F.concat(F.when(two, F.concat(F.lower(pick(GIVEN[script, gender], byte_at(given, 0))), F.lit(" "))).otherwise(""), sounds)
+        sounds = ", ".join(pick(s, byte_at("_f", 2 * i + j)) for i in range(min(4 + extra, 15)) for j, s in enumerate((consonants, vowels)))
+        return f"concat(if(contains(norm, ' '), concat(lower({pick(GIVEN[script, gender], byte_at('_g', 0))}), ' '), ''), {sounds})"
 
-    whole = stream(F.concat_ws("|", seed, norm), F.char_length(norm) + extra)
-    others = disguised(F.concat(norm, F.repeat(F.substring(last, 1, 1), F.lit(extra))), whole)
-    return F.when(norm.rlike(r"^[^\p{L}]*\p{IsLatin}"), of("latin")).when(norm.rlike(r"^[^\p{L}]*\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"^[^\p{L}]*\p{IsGreek}"), of("greek")).otherwise(others)
+    by_script = " ".join(f"WHEN norm rlike r'^[^\\p{{L}}]*\\p{{Is{script.capitalize()}}}' THEN {of(script)}" for script in FAMILY)
+    return f"CASE {by_script} ELSE _b END"
 
 
 #: Draws before a surrogate grows by a letter, a digit or a syllable, and after which it grows by one more.
 ROOM = 6
 
 
-def surrogate(kind: Column, norm: Column, secret: str, draw: int) -> Column:
-    """Surrogate of a normal form; another for each draw, a longer one after every ROOM draws."""
-    extra = draw // ROOM
+def surrogates(entities: DataFrame, secret: str, draw: int) -> DataFrame:
+    """entities (kind, norm) with shape: the surrogate of a draw, a longer one after every ROOM draws.
+
+    Digests and what is made of them letter by letter are columns of their own, so each is made once.
+    """
+    kind, norm, extra = F.col("kind"), F.col("norm"), draw // ROOM
     seed = F.concat_ws("|", F.lit(secret), merged(kind), F.lit(str(draw)))
-    whole = stream(F.concat_ws("|", seed, norm), F.char_length(norm) + extra)
-    at = F.substring_index(norm, "@", 1)
-    domain = F.substring_index(norm, "@", -1)
+    n = F.char_length(norm)
+    at, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     head, top = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
-    longer = lambda text, c: F.concat(text, F.lit(c * extra)) if extra else text
-    digits = disguised(longer(norm, "0"), whole)
-    first = F.substring(norm, 1, 1)
-    local = F.concat(at, F.repeat(F.regexp_extract(at, r"[\p{L}\d]", 0), F.lit(extra))) if extra else at
+    words = F.split(norm, " ")
+    # what is disguised: the local part, the account number after its check digits, or all
+    body = F.when(kind == "email", F.concat(at, F.repeat(F.regexp_extract(at, r"[\p{L}\d]", 0), F.lit(extra))))
+    body = body.when(kind == "iban", F.concat(F.substring(norm, F.lit(5), n), F.lit("0" * extra)))
+    body = body.when(kind.startswith("name"), F.concat(norm, F.repeat(F.substring(F.element_at(words, -1), 1, 1), F.lit(extra)))).otherwise(F.concat(norm, F.lit("0" * extra)))
+    digest = lambda *parts: F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
+    df = entities.select("*", stream(F.concat_ws("|", seed, norm), n + extra).alias("_w"), F.when(kind == "email", stream(F.concat_ws("|", F.lit(secret), F.lit("domain"), domain), F.char_length(head))).alias("_d"), digest(seed, F.element_at(words, 1)).alias("_g"), digest(seed, F.element_at(words, -1)).alias("_f"), body.alias("_b"), head.alias("_h"))
+    whole = F.col("_w")
+    wanted = ~kind.isin("hex", "ip", "ip6") & ~(kind.startswith("name") & norm.rlike(r"^[^\p{L}]*[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]"))
+    df = df.withColumn("_b", F.lower("_b")).withColumn("_b", F.when(wanted, disguised("_b", "_w"))).withColumn("_h", F.when(kind == "email", disguised("_h", "_d")))
+    # a card ends in the digit that makes it valid
+    df = df.withColumn("_b", F.when(kind == "card", F.concat(F.substring(norm, 1, 1), F.substring("_b", F.lit(2), n + extra - 2))).when(kind == "iban", F.upper("_b")).otherwise(F.col("_b")))
+    body, country, length = F.col("_b"), F.substring(norm, 1, 2), n + extra
     # addresses that are never given out: 240.0.0.0/4; once they are short, any
-    top_octet = byte_at(whole, 0) % 16 + 240 if draw < 4 * ROOM else byte_at(whole, 0) % 255 + 1
-    groups = F.regexp_replace(F.substring(whole, F.lit(1), F.char_length(norm)), "^..", "fd")
+    octets = [F.expr(byte_at("_w", i)) for i in range(4)]
+    octets[0] = octets[0] % 16 + 240 if draw < 4 * ROOM else octets[0] % 255 + 1
+    groups = F.concat(F.lit("fd"), F.substring(whole, F.lit(3), n))
     six = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(groups, i + 1, F.lit(1)))), "")
     # a short address has room for few others: it becomes one with more digits
-    six = F.when((F.char_length(norm) >= 10) & F.lit(draw < ROOM), six).otherwise(F.concat(F.lit("fd"), F.substring(whole, 3, 2), *[F.concat(F.lit(":"), F.substring(whole, 5 + 4 * i, 4)) for i in range(min(1 + extra, 5))], F.lit("::"), F.substring(whole, 29, 4)))
-    rest = F.upper(disguised(F.lower(F.substring(longer(norm, "0"), F.lit(5), F.char_length(norm) + extra)), whole))
-    country = F.substring(norm, 1, 2)
-    card = F.concat(first, F.substring(digits, F.lit(2), F.char_length(norm) + extra - 2))
-    out = (
-        F.when(kind == "email", F.concat(disguised(local, whole), F.lit("@"), disguised(head, stream(F.concat_ws("|", F.lit(secret), F.lit("domain"), domain), F.char_length(head))), F.lit("."), top))
-        .when(kind == "hex", F.substring(whole, F.lit(1), F.char_length(norm)))
-        .when(kind == "ip", F.concat_ws(".", top_octet, byte_at(whole, 1), byte_at(whole, 2), byte_at(whole, 3)))
+    six = F.when((n >= 10) & F.lit(draw < ROOM), six).otherwise(F.concat(F.lit("fd"), F.substring(whole, 3, 2), *[F.concat(F.lit(":"), F.substring(whole, 5 + 4 * i, 4)) for i in range(min(1 + extra, 5))], F.lit("::"), F.substring(whole, 29, 4)))
+    shape = (
+        F.when(kind == "email", F.concat(body, F.lit("@"), F.col("_h"), F.lit("."), top))
+        .when(kind == "hex", F.substring(whole, F.lit(1), n))
+        .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "ip6", six)
-        .when(kind == "iban", F.concat(country, iban_check(country, rest), rest))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.char_length(norm) + extra)))
-        .when(kind == "card", F.concat(card, luhn_digit(card)))
-        .when(kind == "phone_intl", F.concat(first, F.substring(digits, F.lit(2), F.char_length(norm) + extra)))
+        .when(kind == "iban", F.concat(country, iban_check(country, body), body))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(body, F.lit(2), length)))
+        .when(kind == "card", F.concat(body, luhn_digit(body)))
+        .when(kind == "phone_intl", F.concat(F.substring(norm, 1, 1), F.substring(body, F.lit(2), length)))
     )
     for gender in HONORIFICS:
-        out = out.when(kind == f"name_{gender}", _name(norm, gender, seed, extra))
-    return out.otherwise(digits)
+        shape = shape.when(kind == f"name_{gender}", F.expr(_name(gender, extra)))
+    return df.select("kind", "norm", shape.otherwise(body).alias("shape"))
 
 
 def name_cased(mention: Column, shape: Column) -> Column:
@@ -240,7 +252,7 @@ def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
     originals = entities.select(family.alias("family"), F.col("norm").alias("shape")).distinct()
     open_, done, draw = entities, None, 0
     while True:
-        drawn = open_.withColumn("shape", surrogate(F.col("kind"), F.col("norm"), secret, draw)).withColumn("family", family)
+        drawn = settle(surrogates(open_, secret, draw).withColumn("family", family))
         free = drawn.join(originals, ["family", "shape"], "left_anti")
         if done is not None:
             free = free.join(done.select("family", "shape"), ["family", "shape"], "left_anti")
@@ -254,13 +266,17 @@ def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
 
 
 def cut(text: Column) -> Column:
-    """A text as clear parts and mentions by turns, clear ones at both ends, by one pass of the pattern."""
-    pattern = any_pattern()
-    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    """A text as clear parts and mentions by turns, clear ones at both ends, by one pass of the pattern that it needs."""
+
+    def one(pattern: str) -> Column:
+        return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
     # a text that holds the mark itself is cut in two passes
+    pattern = any_pattern()
     pieces, found = F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
     slow = F.flatten(F.zip_with(pieces, found, lambda a, b: F.array(a, b)))
-    return F.when(~text.contains(MARK), marked).otherwise(F.slice(slow, F.lit(1), F.size(slow) - 1))
+    out = F.when(text.contains(MARK), F.slice(slow, F.lit(1), F.size(slow) - 1)).when(text.contains("@"), one(pattern))
+    return out.when(has_digits(text), one(any_pattern(at=False))).otherwise(one(any_pattern(False, False)))
 
 
 def _turns(parts: Column, odd: bool) -> Column:
@@ -278,7 +294,7 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
     names somebody with an honorific, the whole name and its last word are replaced in the rest of the text too.
     """
     h, parts, swaps, own, count = fresh(docs, "_row", "_parts", "_swaps", "_own", "n_entities")
-    gated = F.coalesce(docs[text].rlike(GATE), F.lit(False))
+    gated = F.coalesce(docs[text].contains("@") | has_digits(docs[text]) | docs[text].rlike(TITLED), F.lit(False))
     held = docs.where(gated).withColumn(h, row_hash(docs[key], docs[text])).withColumn(parts, cut(docs[text])).drop(text)
     # written, so that the pattern runs once over each text
     path = workspace(docs.sparkSession, "cut")
