@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.schema import EmptyRasterError, GridSpec
+from aerolith.schema import GridSpec, PointCloudError
 
 
 def grid_of(points: DataFrame, res: float, epsg: int | None = 32632) -> GridSpec:
     """The grid over a cloud's bounds (one aggregate over x and y)."""
     r = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if r[0] is None:
-        raise EmptyRasterError("the cloud has no points")
+        raise PointCloudError("the cloud has no points")
     return GridSpec.over(*r, res, epsg)
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.functions.quantiles import percentiles
 from aerolith.functions.graph import subtree_sizes
 from aerolith.functions.stencil import eight, gradient
 from aerolith.plans.storage import settle
@@ -100,11 +101,10 @@ def landslide(raster: DataFrame, spec: GridSpec, weights: tuple[float, float, fl
     second = gradient(second, "gy", out=("_w", "gyy")).drop("_u", "_w")
     df = second.join(acc, ["row", "col"], "left").withColumn("t", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).withColumn("a", F.greatest(F.lit(1.0), F.col("acc").cast("double")) * spec.res_x)
     df = settle(df.withColumn("twi", F.when(F.col("z").isNotNull(), _wetness(0.001))))
-    ends = df.where("twi > -100").agg(F.percentile("twi", F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
+    lo, hi = percentiles(df.where("twi > -100"), "twi", [0.05, 0.95]) or (0.0, 0.0)
     clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(100.0))
-    lo, hi = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     steep = clip(F.degrees(F.atan("t")) / 45 * 100)
-    wet = clip((F.col("twi") - lo) / F.greatest(F.lit(1e-5), hi - lo) * 100)
+    wet = clip((F.col("twi") - lo) / max(1e-5, hi - lo) * 100)
     bent = clip((-(F.col("gxx") + F.col("gyy")) + 0.5) * 100)
     hazard = F.floor(clip(steep * weights[0] + wet * weights[1] + bent * weights[2])).cast("int")
-    return df.crossJoin(F.broadcast(ends)).select("row", "col", F.when(F.col("z").isNotNull(), hazard).otherwise(255).alias("hazard"))
+    return df.select("row", "col", F.when(F.col("z").isNotNull(), hazard).otherwise(255).alias("hazard"))

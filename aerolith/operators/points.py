@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.grid import binned, cells, densified
+from aerolith.functions.quantiles import percentiles
 from aerolith.plans.storage import settle
 from aerolith.schema import CLASS_NAMES, ConfigurationError, GridSpec, NoOverlapError, need
 
@@ -28,10 +29,10 @@ def profile(points: DataFrame, sample_limit: int | None = None) -> DataFrame:
         F.avg("z").alias("mean_z"),
     )
     sample = points if sample_limit is None else points.orderBy("pid").limit(sample_limit)
-    q = sample.agg(F.percentile("z", F.array(*[F.lit(p / 100) for p in QUANTILES])).alias("q"))
+    q = percentiles(sample, "z", [p / 100 for p in QUANTILES]) or [None] * len(QUANTILES)
     area = F.greatest(F.lit(1.0), (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
     out = base.withColumn("area", area).withColumn("density", F.col("total_points") / F.col("area"))
-    return out.crossJoin(F.broadcast(q)).select(*out.columns, *[F.round(F.get("q", F.lit(i)), 2).alias(f"z_p{p}") for i, p in enumerate(QUANTILES)])
+    return out.select("*", *[F.round(F.lit(v).cast("double"), 2).alias(f"z_p{p}") for p, v in zip(QUANTILES, q, strict=True)])
 
 
 def class_counts(points: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def clean(points: DataFrame, low: float | None = None, high: float | None = None
     out = points
     if remove:
         if low is None or high is None:
-            p1, p99 = points.agg(F.percentile("z", F.array(F.lit(0.01), F.lit(0.99)))).first()[0] or (0.0, 0.0)
+            p1, p99 = percentiles(points, "z", [0.01, 0.99]) or (0.0, 0.0)
             low, high = p1 - 2.5 * (p99 - p1), p99 + 2.5 * (p99 - p1)
         out = between_heights(out, low, high)
     if abs(shift) > 1e-4:
@@ -100,15 +101,16 @@ def strip_differences(first: DataFrame, second: DataFrame, res: float = 0.5, rai
 def strip_alignment(diffs: DataFrame, trim: tuple[float, float] = (5, 95)) -> DataFrame:
     """One row: mean, median, deviation of the trimmed differences; counts. All 0 without overlap."""
     diffs = settle(diffs)  # read twice, and far smaller than the strips
-    ends = diffs.agg(F.percentile("diff", F.array(F.lit(trim[0] / 100), F.lit(trim[1] / 100))).alias("_p"), F.count("*").alias("sampled_cells"))
-    kept = diffs.crossJoin(F.broadcast(ends)).where(F.col("diff").between(F.get("_p", F.lit(0)), F.get("_p", F.lit(1))))
+    low, high = percentiles(diffs, "diff", [t / 100 for t in trim]) or (0.0, 0.0)
+    kept = diffs.where(F.col("diff").between(low, high))
+    middle = (percentiles(kept, "diff", [0.5]) or [0.0])[0]
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return kept.agg(
         zero(F.avg("diff")).alias("mean_offset"),
-        zero(F.percentile("diff", F.lit(0.5))).alias("median_offset"),
+        F.lit(float(middle)).alias("median_offset"),
         zero(F.stddev_pop("diff")).alias("std_offset"),
         F.count("*").alias("trimmed_cells"),
-        F.coalesce(F.max("sampled_cells"), F.lit(0)).alias("sampled_cells"),
+        F.lit(diffs.count()).cast("long").alias("sampled_cells"),
     )
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions.grid import every
+from aerolith.functions.quantiles import percentiles
 from aerolith.functions.stencil import dilated_diamond, gradient, median3
 from aerolith.operators import control as cp
 from aerolith.operators import points as pc
@@ -26,9 +27,10 @@ def anomalies(raster: DataFrame, spec: GridSpec, spike: float | None = None, pit
     over 15 beyond it, else none is found.
     """
     src = settle(every(raster, step).withColumn("z", F.when((F.col("z") > -500) & (F.col("z") < 9000), F.col("z"))))
-    ends = src.agg(F.percentile("z", F.array(F.lit(0.997), F.lit(0.003))).alias("q"), F.max("z").alias("hi"), F.min("z").alias("lo"))
-    high = F.lit(spike) if spike is not None else F.when(F.col("hi") - F.get("q", F.lit(0)) > 15, F.get("q", F.lit(0))).otherwise(F.col("hi") + 1)
-    low = F.lit(pit) if pit is not None else F.when(F.get("q", F.lit(1)) - F.col("lo") > 15, F.get("q", F.lit(1))).otherwise(F.col("lo") - 1)
+    top, bottom = percentiles(src, "z", [0.997, 0.003]) or (0.0, 0.0) if spike is None or pit is None else (0.0, 0.0)
+    ends = src.agg(F.max("z").alias("hi"), F.min("z").alias("lo"))
+    high = F.lit(spike) if spike is not None else F.when(F.col("hi") - top > 15, F.lit(top)).otherwise(F.col("hi") + 1)
+    low = F.lit(pit) if pit is not None else F.when(bottom - F.col("lo") > 15, F.lit(bottom)).otherwise(F.col("lo") - 1)
     limits = ends.select(high.alias("_high"), low.alias("_low"))
     coarse = spec.coarser(step)
     df = gradient(src).withColumn("gx", F.col("gx") / coarse.res_x).withColumn("gy", F.col("gy") / coarse.res_y).crossJoin(F.broadcast(limits))
@@ -97,14 +99,13 @@ def _audit(kind: str, issues: list[Issue], metrics: dict, score: float | None =
 
 def cloud_metrics(points: DataFrame) -> DataFrame:
     """One row: what the audit of a cloud reads. A label with a 2 in it counts as ground, as overlap (12) does."""
-    q = points.agg(F.percentile("z", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    p1, p99 = (F.lit(v).cast("double") for v in percentiles(points, "z", [0.01, 0.99]) or (None, None))
     label = pc.class_name(F.col("classification"))
     ground = F.sum(F.when(label.contains("Ground") | F.concat_ws(" ", label, F.col("classification").cast("string")).contains("2"), 1).otherwise(0))
-    p1, p99 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     noisy = (F.col("z") > p99 + 3 * (p99 - p1)) | (F.col("z") < p1 - 3 * (p99 - p1))
     area = F.greatest(F.lit(1.0), (F.max("x") - F.min("x")) * (F.max("y") - F.min("y")))
     n = F.count("*")
-    return points.crossJoin(F.broadcast(q)).agg(
+    return points.agg(
         n.alias("total_points"),
         (n / area).alias("density"),
         (ground * 100.0 / n).alias("ground_pct"),
@@ -198,6 +199,16 @@ def heal(raster: DataFrame, fill: bool = True, despike: bool = True, threshold:
     return out.select("row", "col", "z")
 
 
+def assigned(spec: GridSpec, assign_crs: int | None = None) -> GridSpec:
+    """The grid of a repaired raster: it gets the coordinate system if it has none."""
+    return spec if spec.epsg is not None or assign_crs is None else replace(spec, epsg=assign_crs)
+
+
+def cloud_crs(epsg: int | None = None, report: Audit | None = None, assign_crs: int | None = None) -> int:
+    """The coordinate system to write a repaired cloud with: its own, the one asked for, the report's, or UTM 32N."""
+    return epsg or assign_crs or (report.suggested.get("assign_crs") if report else None) or 32632
+
+
 def inspect(data: DataFrame, spec: GridSpec | None = None, **options) -> Audit:
     """Audit of a cloud, or of a raster when its grid is given."""
     return inspect_raster(data, spec, **options) if spec is not None else inspect_cloud(data, **options)

@@ -75,15 +75,20 @@ def relaxed(iterations: int):
 def surface(raster: DataFrame, spec: GridSpec, mask: DataFrame | None = None, step: int = 4, threshold: float = 1035.0, order: int = 2, iterations: int = 150, sigma: float = 6.0) -> DataFrame:
     """row, col of the coarser grid with delta_z to add and its weight w.
 
-    The masked cells (given, or spikes and the step) grow by 8; a quadric fitted to the ring of 6
-    around them starts a relaxation inside; the mask, smoothed, weights the result. Patches that hang
-    together are relaxed in a task of their own.
+    The mask is the given one, or spikes and the step, grown by 8; a quadric fitted to the ring of 6
+    around it starts a relaxation inside; the mask, smoothed, weights the result. Mask, growth and ring hold valid
+    cells only: a void (null, or -500 and below) has no correction. Patches that hang together are relaxed in a task of their own.
     """
     coarse = spec.coarser(step)
-    src = settle(nearest_filled(every(raster, step)))
-    df = src.withColumn("mask", F.coalesce(default_mask(threshold, coarse), F.lit(False))) if mask is None else src.join(mask.select("row", "col", F.lit(True).alias("mask")), ["row", "col"], "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
-    df = settle(dilated_diamond(df, "mask", 8))
-    ringed = settle(dilated_diamond(df.withColumn("ring", F.col("mask")), "ring", 6).withColumn("ring", F.col("ring") & ~F.col("mask")))
+    some = every(raster, step).select("row", "col", F.when(F.col("z") > -500, F.col("z")).alias("_z"))
+    src = nearest_filled(some, "_z", "z").withColumn("valid", F.col("_z").isNotNull())
+    on = lambda c: F.coalesce(c, F.lit(False)) & F.col("valid")
+    if mask is None:
+        df = dilated_diamond(src.withColumn("mask", on(default_mask(threshold, coarse))), "mask", 8)
+    else:
+        df = src.join(mask.select("row", "col", F.lit(True).alias("mask")), ["row", "col"], "left")
+    df = settle(df.withColumn("mask", on(F.col("mask"))))
+    ringed = settle(dilated_diamond(df.withColumn("ring", F.col("mask")), "ring", 6).withColumn("ring", on(F.col("ring")) & ~F.col("mask")))
     fit = fit_plane(ringed.where("ring"), order)
     if fit is None:
         return df.select("row", "col", F.lit(0.0).alias("delta_z"), F.lit(0.0).alias("w"))

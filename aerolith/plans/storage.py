@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """spark.checkpoint.dir; a folder of our own only where a local session names none."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found
     if held.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="aerolith-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

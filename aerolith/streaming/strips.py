@@ -21,7 +21,7 @@ def live_cells(points: DataFrame, spec: GridSpec) -> DataFrame:
 
 
 def keep_surface(points: DataFrame, spec: GridSpec, name: str, checkpoint: str) -> StreamingQuery:
-    """An in-memory table of the surface, updated with each batch."""
+    """An in-memory table of the whole surface on the driver, for small areas and tests; `write_changes` is the way beyond."""
     return live_cells(points, spec).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
 
 

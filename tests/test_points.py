@@ -1,6 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
+from aerolith.functions import quantiles
 from aerolith.functions.grid import grid_of
 from aerolith.operators import points as pc
 from aerolith.schema import ConfigurationError, GridSpec, MissingColumnError, NoOverlapError
@@ -69,3 +71,15 @@ def test_boxes():
 def test_corridor(cloud, cloud_arrays):
     got = pc.corridor(cloud, (500000.0, 5200030.0), (500060.0, 5200030.0), 4.0).count()
     assert got == (np.abs(cloud_arrays["y"] - 5200030) <= 2).sum()
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(0, 50, 3000), np.full(900, 7.25), [1e12, -1e9, 7.25 + 1e-9]])
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).unionByName(spark.createDataFrame([(None,)], "v double"))
+    shares = [0.0, 0.003, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    for most in (100_000, 50):
+        monkeypatch.setattr(quantiles, "MOST", most)
+        assert quantiles.percentiles(df, "v", shares) == pytest.approx(np.quantile(v, shares).tolist())
+    assert quantiles.percentiles(df.where("v IS NULL"), "v", [0.5]) is None
+    assert quantiles.percentiles(spark.createDataFrame([(3.0,)], "v double"), "v", [0.1, 0.9]) == [3.0, 3.0]

@@ -100,7 +100,7 @@ def test_rectified_bump(spark):
     truth = a.copy()
     a[36:44, 36:44] += 30
     spec = GridSpec(0.0, 80.0, 1.0, 1.0, 80, 80)
-    mask = spark.createDataFrame([(r, c) for r in (9, 10) for c in (9, 10)], "row long, col long")
+    mask = spark.createDataFrame([(r, c) for r in range(5, 15) for c in range(5, 15)], "row long, col long")
     delta = rectify.surface(as_raster(spark, a), spec, mask, step=4, sigma=2.0)
     d = as_array(delta, "delta_z", (20, 20))
     assert d[9:11, 9:11].max() < -15 and d[0, 0] == 0
@@ -111,3 +111,18 @@ def test_rectified_bump(spark):
     assert rectify.fit_plane(few) is None
     coeff, centre = rectify.fit_plane(as_raster(spark, truth), 2)
     assert coeff[1] == pytest.approx(0.05, abs=1e-6) and coeff[2] == pytest.approx(0.03, abs=1e-6)
+
+
+def test_given_masks_and_voids_are_left_as_they_are(spark):
+    """A given mask does not grow, and no cell without data belongs to mask, growth or ring."""
+    a = 100 + np.add.outer(np.arange(30) * 0.1, np.arange(30) * 0.2)
+    a[14:17, 18:21] = np.nan
+    a[15, 15] += 9
+    spec = GridSpec(0.0, 30.0, 1.0, 1.0, 30, 30)
+    mask = spark.createDataFrame([(15, 15), (15, 18)], "row long, col long")
+    out = rectify.surface(as_raster(spark, a), spec, mask=mask, step=1).where("delta_z <> 0").collect()
+    assert [(r["row"], r["col"]) for r in out] == [(15, 15)] and out[0]["delta_z"] < 0
+    a[15, 15] = 2000
+    out = rectify.surface(as_raster(spark, a), spec, step=1, threshold=130.0).where("delta_z <> 0").collect()
+    moved = {(r["row"], r["col"]) for r in out}
+    assert len(moved) > 50 and all(abs(r - 15) + abs(c - 15) <= 8 and not np.isnan(a[r, c]) for r, c in moved)
