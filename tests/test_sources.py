@@ -9,7 +9,7 @@ from aerolith.functions.grid import grid_of
 from aerolith.operators import terrain
 from aerolith.plans import sql
 from aerolith.schema import ConfigurationError, ControlPointError, FormatError, GridSpec, NotSupportedError, PointCloudError
-from aerolith.sources import crs, geotiff, las, rasters, vector
+from aerolith.sources import crs, geotiff, las, rasters, tiff_codecs, vector
 from aerolith.streaming import strips
 
 from survey_cases import as_array, as_raster, dem_array
@@ -71,6 +71,64 @@ def test_colour_geotiff(spark, tmp_path):
         geotiff.read_layout(str(bad))
 
 
+@pytest.mark.parametrize("compression", [1, 5, 8])
+def test_compressed_geotiff(spark, tmp_path, compression):
+    a = dem_array(70, 33)
+    a[16:32] = np.nan  # a strip without cells
+    spec = GridSpec(500000.0, 5200100.0, 0.5, 0.5, 33, 70, 32632)
+    raster = as_raster(spark, a).where("row < 16 or row > 31")
+    path = geotiff.write_geotiff(raster, spec, str(tmp_path / "a.tif"), dtype="f8", strip=16, compression=compression)
+    assert geotiff.read_layout(path).compression == compression
+    df, got = geotiff.read_geotiff(spark, path)
+    assert (got.width, got.height, got.epsg) == (33, 70, 32632) and np.array_equal(as_array(df, "z", a.shape), a, equal_nan=True)
+    done = geotiff.write_tiles(raster, spec, str(tmp_path / "tiles"), dtype="f8", tile=16, compression=compression)
+    assert done.count() == 12
+    df, got = geotiff.read_tiles(spark, str(tmp_path / "tiles"))
+    assert (got.width, got.height, got.min_x, got.max_y) == (33, 70, 500000.0, 5200100.0)
+    b = as_array(df, "z", a.shape)
+    assert np.array_equal(b, a, equal_nan=True)
+
+
+def test_lzw():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 255, 256, 5000, 40000):
+        for data in (r.integers(0, 256, n).astype("u1").tobytes(), bytes(n), r.integers(0, 3, n).astype("u1").tobytes()):
+            assert tiff_codecs.unlzw(tiff_codecs.lzw(data)) == data
+    # the example of the specification: 7 7 7 8 8 7 7 6 6 as nine-bit codes
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    whole = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    assert tiff_codecs.unlzw(whole) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff_codecs.lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == whole
+    with pytest.raises(FormatError):
+        tiff_codecs.unlzw(b"\x80\x7f\xff\xff")
+
+
+def test_big_and_predicted_geotiff(spark, tmp_path):
+    a = np.arange(60, dtype="<u2").reshape(6, 10) * 900
+    spec = GridSpec(0.0, 6.0, 1.0, 1.0, 10, 6, 32633)
+    ahead = a.copy()
+    ahead[:, 1:] -= a[:, :-1]
+    data = tiff_codecs.lzw(ahead.tobytes())
+    data += b"\0" * (len(data) % 2)
+    at = 16 + len(data)
+    body = geotiff._directory(spec, 1, "u2", 5, 60000.0, 6, [len(data)], 16, at, True)
+    n = int.from_bytes(body[:8], "little")
+    # a predictor tag in the place of that of the planes (284)
+    k = next(8 + 20 * i for i in range(n) if body[8 + 20 * i : 10 + 20 * i] == (284).to_bytes(2, "little"))
+    body = body[:k] + (317).to_bytes(2, "little") + body[k + 2 : k + 12] + (2).to_bytes(8, "little") + body[k + 20 :]
+    path = tmp_path / "big.tif"
+    path.write_bytes(geotiff._head(at, True) + data + body)
+    df, got = geotiff.read_geotiff(spark, str(path))
+    assert got.epsg == 32633 and np.array_equal(as_array(df, "z", a.shape), a)
+    b = np.random.default_rng(0).normal(size=(4, 5, 2)).astype("<f4")
+    planes = b.astype(">f4").view("u1").reshape(4, 10, 4).transpose(0, 2, 1).reshape(4, 20, 2)
+    ahead = planes.copy()
+    ahead[:, 1:] -= planes[:, :-1]
+    assert np.array_equal(tiff_codecs.samples(ahead.tobytes(), "<f4", (4, 5, 2), 3), b)
+    with pytest.raises(FormatError):
+        tiff_codecs.samples(b"1234", "<f4", (4, 5, 2), 1)
+
+
 def test_raster_parquet(spark, tmp_path):
     spec = GridSpec(0.0, 40.0, 1.0, 1.0, 40, 40, 32633)
     path = rasters.write_raster(as_raster(spark, dem_array(40, 40)), spec, str(tmp_path / "r"), tile=16)
