@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +90,72 @@ def validate(residuals: DataFrame, tolerance: float = 0.05) -> DataFrame:
     if not out.first()["total_points"]:
         raise ControlPointError("no control point overlaps the data")
     return out
+
+
+#: Keys of a report's numbers and the statistics that they hold.
+REPORTED = {
+    "total_points": "total_points",
+    "num_gcps": "gcp_points",
+    "num_checkpoints": "check_points",
+    "rmse_z_m": "rmse",
+    "mean_bias_z_m": "bias",
+    "std_dev_z_m": "std",
+    "accuracy_95_nssda_m": "accuracy_95",
+    "min_delta_z_m": "min_delta",
+    "max_delta_z_m": "max_delta",
+    "passed_tolerance": "passed",
+    "recommended_z_shift_m": "suggested_shift",
+}
+
+
+@dataclass
+class AccuracyReport:
+    """Accuracy of one data set against its control points, as a dictionary, JSON, Markdown or text for a terminal."""
+
+    dataset: str
+    kind: str
+    tolerance: float
+    stats: dict
+    points: list[dict]
+
+    def as_dict(self) -> dict:
+        short = lambda v: round(v, 4) if isinstance(v, float) else v
+        numbers = {k: short(self.stats[c]) for k, c in REPORTED.items()}
+        return {"dataset": self.dataset, "kind": self.kind, "target_tolerance_m": self.tolerance} | numbers | {"outliers": [p for p in self.points if p["outlier"]], "residuals": self.points}
+
+    def as_json(self) -> str:
+        return json.dumps(self.as_dict(), indent=2, default=str)
+
+    def _measures(self) -> list[tuple[str, float]]:
+        return [(name, self.stats[k]) for name, k in (("RMSE", "rmse"), ("bias", "bias"), ("standard deviation", "std"), ("95 % confidence", "accuracy_95"), ("least residual", "min_delta"), ("largest residual", "max_delta"))]
+
+    def _verdict(self) -> str:
+        return "passed" if self.stats["passed"] else "failed"
+
+    def as_markdown(self) -> str:
+        s = self.stats
+        out = [f"# Vertical accuracy: {self.dataset}", "", f"{self.kind}, {s['total_points']} points ({s['gcp_points']} control, {s['check_points']} check), tolerance {self.tolerance:g} m: **{self._verdict()}**", "", "| measure | m | cm |", "|-|-|-|"]
+        out += [f"| {name} | {v:.4f} | {v * 100:.2f} |" for name, v in self._measures()]
+        if abs(s["bias"]) > self.tolerance:
+            out += ["", f"A shift of {s['suggested_shift']:+.4f} m takes the bias away."]
+        out += ["", "| point | type | x | y | surveyed | measured | residual cm | status | outlier |", "|-|-|-|-|-|-|-|-|-|"]
+        out += [f"| {p['point_id']} | {p['point_type']} | {p['x']:.2f} | {p['y']:.2f} | {p['z']:.3f} | {p['z_surface']:.3f} | {p['delta'] * 100:+.2f} | {p['status']} | {'yes' if p['outlier'] else ''} |" for p in self.points]
+        return "\n".join(out) + "\n"
+
+    def as_text(self) -> str:
+        s = self.stats
+        out = [f"Vertical accuracy of {self.dataset} ({self.kind}): {self._verdict()}", f"{s['total_points']} points, {s['gcp_points']} control and {s['check_points']} check, tolerance {self.tolerance * 100:.1f} cm"]
+        out += [f"  {name:<20}{v * 100:+9.2f} cm" for name, v in self._measures()]
+        out += [f"  outlier {p['point_id']} ({p['point_type']}): {p['delta'] * 100:+.1f} cm" for p in self.points if p["outlier"]]
+        if abs(s["bias"]) > self.tolerance:
+            out.append(f"  suggested shift {s['suggested_shift']:+.4f} m")
+        out += [f"  {p['point_id']:<12} {p['point_type']:<6} {p['x']:>12.2f} {p['y']:>12.2f} {p['z']:>9.3f} {p['z_surface']:>9.3f} {p['delta'] * 100:+8.2f} {p['status']}" for p in self.points]
+        return "\n".join(out) + "\n"
+
+
+def report(residuals: DataFrame, dataset: str, kind: str, tolerance: float = 0.05) -> AccuracyReport:
+    """The report on residuals; it lists every control point of the survey, so these come to the driver."""
+    residuals = settle(residuals)
+    stats = validate(residuals, tolerance).first().asDict()
+    points = [r.asDict() for r in judged(residuals, tolerance).orderBy("point_id").collect()]
+    return AccuracyReport(dataset, kind, tolerance, stats, points)

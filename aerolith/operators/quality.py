@@ -84,6 +84,12 @@ class Audit:
         lines += [f"| {i.code} | {i.severity} | {i.penalty:g} | {i.message} |" for i in self.issues]
         return "\n".join([*lines, "", "| metric | value |", "|-|-|", *(f"| {k} | {v} |" for k, v in self.metrics.items())]) + "\n"
 
+    def as_text(self) -> str:
+        out = [f"Quality of the {self.kind}: {self.score:.0f} of 100, {self.status}"]
+        out += [f"  {k:<24} {v:,.2f}" if isinstance(v, float) else f"  {k:<24} {v}" for k, v in self.metrics.items()]
+        out += [f"  {i.severity:<9}{i.code}: {i.message}; try {i.suggested}" for i in self.issues] or ["  no defects"]
+        return "\n".join(out) + "\n"
+
 
 def audit_rows(spark: SparkSession, audit: Audit) -> DataFrame:
     """An audit as a table: a row for each issue, and one of code SCORE with the status and what is left of 100."""

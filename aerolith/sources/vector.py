@@ -1,4 +1,4 @@
-"""Control points and polygons from delimited text and GeoJSON; features to GeoJSON."""
+"""Control points and polygons from delimited text, GeoJSON, shapefiles and GeoPackages; features to the same."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.schema import CONTROL, ControlPointError, NotSupportedError
+from aerolith.sources import vector_files
 
 #: Column names that mean the same, in text files; the first found counts.
 NAMES = {
@@ -69,15 +70,21 @@ def read_control_text(spark: SparkSession, path: str) -> DataFrame:
     return out.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
 
 
-def _features(spark: SparkSession, path: str, geometry: str) -> DataFrame:
-    schema = f"struct<features:array<struct<geometry:struct<type:string,coordinates:{geometry}>,properties:map<string,string>>>>"
+def _features(spark: SparkSession, path: str, geometry: str, kind: str) -> DataFrame:
+    """Column f with geometry and properties of a file's features of one kind."""
+    feature = f"struct<geometry:struct<type:string,coordinates:{geometry}>,properties:map<string,string>>"
+    suffix = path.rpartition(".")[2].lower()
+    if suffix in ("shp", "gpkg"):
+        found = vector_files.shapefile(path) if suffix == "shp" else vector_files.geopackage(path)
+        rows = [(((name, places), properties),) for name, places, properties in found if name == kind]
+        return spark.createDataFrame(rows, f"f {feature}")
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", schema)["features"]).alias("f")).where("f.geometry.coordinates IS NOT NULL")
+    return text.select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f")).where((F.col("f.geometry.type") == kind) & F.col("f.geometry.coordinates").isNotNull())
 
 
-def read_control_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Control points from GeoJSON points; the height is the third coordinate or a property that names one."""
-    f = _features(spark, path, "array<double>").where("f.geometry.type = 'Point'")
+def read_control_features(spark: SparkSession, path: str) -> DataFrame:
+    """Control points from points of a GeoJSON, shapefile or GeoPackage; the height is the third coordinate or a property that names one."""
+    f = _features(spark, path, "array<double>", "Point")
     low = f.withColumn("p", F.transform_keys("f.properties", lambda k, _: F.lower(k)))
     prop = lambda *names: F.coalesce(*[F.try_element_at("p", F.lit(n)) for n in names])
     at = lambda i: F.get("f.geometry.coordinates", F.lit(i))
@@ -97,8 +104,8 @@ def read_control(spark: SparkSession, source) -> DataFrame:
         return source.select(pick("point_id").cast("string").alias("point_id"), *[pick(c).cast("double").alias(c) for c in "xyz"], point_type(pick("point_type").cast("string")).alias("point_type"))
     if isinstance(source, str):
         kind = source.rpartition(".")[2].lower()
-        if kind in ("geojson", "json"):
-            return read_control_geojson(spark, source)
+        if kind in ("geojson", "json", "shp", "gpkg"):
+            return read_control_features(spark, source)
         if kind in ("csv", "txt", "tsv", "dat"):
             return read_control_text(spark, source)
         raise NotSupportedError(f"control points from .{kind} files")
@@ -116,8 +123,8 @@ def read_control(spark: SparkSession, source) -> DataFrame:
 
 
 def read_chips(spark: SparkSession, path: str, label: str = "id") -> DataFrame:
-    """Boxes of GeoJSON polygons: id, x_min, y_min, x_max, y_max."""
-    f = _features(spark, path, "array<array<array<double>>>")
+    """Boxes of the polygons of a GeoJSON, shapefile or GeoPackage: id, x_min, y_min, x_max, y_max."""
+    f = _features(spark, path, "array<array<array<double>>>", "Polygon")
     ring = F.get("f.geometry.coordinates", F.lit(0))
     xs, ys = F.transform(ring, lambda p: F.get(p, F.lit(0))), F.transform(ring, lambda p: F.get(p, F.lit(1)))
     return f.select(F.try_element_at("f.properties", F.lit(label)).alias("id"), F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max"))
@@ -152,6 +159,29 @@ def write_geojson(features: DataFrame, path: str, newline: bool = True) -> str:
     return path
 
 
+def write_control(points: DataFrame, path: str, epsg: int = 32632) -> str:
+    """Points with x, y, z and attributes (as text) as a shapefile or GeoPackage, by suffix; the file is made on the driver, so it is for one survey's control points."""
+    suffix = path.rpartition(".")[2].lower()
+    if suffix not in ("shp", "gpkg"):
+        raise NotSupportedError(f"control points to .{suffix} files")
+    rest = [c for c in points.columns if c not in ("x", "y", "z")]
+    rows = points.select("x", "y", "z", *[F.col(c).cast("string").alias(c) for c in rest]).collect()
+    places = [(r["x"], r["y"], r["z"]) for r in rows]
+    texts = [{c: r[c] for c in rest if r[c] is not None} for r in rows]
+    if suffix == "gpkg":
+        files = {path: vector_files.geopackage_bytes(places, texts, epsg)}
+    else:
+        stem = path[: -len("shp")]
+        files = dict(zip((path, stem + "shx", stem + "dbf"), vector_files.shapefile_bytes(places, texts), strict=True))
+    from pyarrow import fs
+
+    for name, data in files.items():
+        store, at = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+        with store.open_output_stream(at) as f:
+            f.write(data)
+    return path
+
+
 def parsed(path: str) -> dict:
     """A GeoJSON file as Python objects (for small files and tests)."""
     with open(path, encoding="utf-8") as f:

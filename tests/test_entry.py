@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from aerolith.plans import registry
+from aerolith.plans import files
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -35,10 +35,10 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted(files.oracle_sql()))
 def test_same_rows(spark, duck, name):
-    df = registry.QUERIES[name](spark, DATA)
-    cursor = duck.execute(registry.SQL[name])
+    df = files.queries()[name](spark, DATA)
+    cursor = duck.execute(files.oracle_sql()[name])
     columns = [x[0] for x in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())

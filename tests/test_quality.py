@@ -126,3 +126,19 @@ def test_given_masks_and_voids_are_left_as_they_are(spark):
     out = rectify.surface(as_raster(spark, a), spec, step=1, threshold=130.0).where("delta_z <> 0").collect()
     moved = {(r["row"], r["col"]) for r in out}
     assert len(moved) > 50 and all(abs(r - 15) + abs(c - 15) <= 8 and not np.isnan(a[r, c]) for r, c in moved)
+
+
+def test_reports(spark):
+    rows = [(f"P{i}", "CHECK" if i % 2 else "GCP", float(i), 1.0, 10.0, 10.0 + d, d, 6, "PASS") for i, d in enumerate((0.20, 0.21, 0.19, 0.20, 1.50))]
+    found = spark.createDataFrame(rows, "point_id string, point_type string, x double, y double, z double, z_surface double, delta double, neighbours int, status string")
+    report = cp.report(found, "field.las", "CLOUD")
+    told = report.as_dict()
+    assert (told["total_points"], told["num_gcps"], told["num_checkpoints"], told["passed_tolerance"]) == (5, 3, 2, False)
+    assert told["mean_bias_z_m"] == 0.46 and told["recommended_z_shift_m"] == -0.2 and [p["point_id"] for p in told["outliers"]] == ["P4"]
+    assert json.loads(report.as_json())["residuals"][0]["point_id"] == "P0"
+    assert report.as_markdown().count("\n| P") == 5 and "failed" in report.as_markdown()
+    assert "outlier P4" in report.as_text() and "-0.2000" in report.as_text()
+    with pytest.raises(ControlPointError):
+        cp.report(found.where("z < 0"), "none", "CLOUD")
+    audit = qc.Audit("cloud", 75.0, "CRITICAL", [qc.Issue("LAS_CRS_MISSING", "CRITICAL", "no coordinate system", 25, {"assign_crs": 32632})], {"n": 3, "density": 2.5})
+    assert "75 of 100" in audit.as_text() and "LAS_CRS_MISSING" in audit.as_text() and "2.50" in audit.as_text()

@@ -1,4 +1,5 @@
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from aerolith.functions.grid import grid_of
 from aerolith.operators import terrain
 from aerolith.plans import sql
 from aerolith.schema import ConfigurationError, ControlPointError, FormatError, GridSpec, NotSupportedError, PointCloudError
-from aerolith.sources import crs, geotiff, las, rasters, tiff_codecs, vector
+from aerolith.sources import crs, geotiff, las, rasters, tiff_codecs, vector, vector_files
 from aerolith.streaming import strips
 
 from survey_cases import as_array, as_raster, dem_array
@@ -34,6 +35,23 @@ def test_las_round_trip(spark, cloud_arrays, tmp_path):
     assert las.bounds(path)["max"][2] == pytest.approx(a["z"].max())
 
 
+@pytest.mark.parametrize("point_format", [1, 3, 6, 7, 8])
+def test_las_formats(spark, cloud_arrays, tmp_path, point_format):
+    a = {k: v[:500] for k, v in cloud_arrays.items()}
+    time = np.arange(500) / 8
+    path = str(tmp_path / "a.las")
+    open(path, "wb").write(las.encode(a["x"], a["y"], a["z"], a["classification"], a["return_number"], np.full(500, 3), a["intensity"], [a["red"], a["green"], a["blue"]], 32632, gps_time=time, point_format=point_format))
+    h = las.read_header(path)
+    assert (h.count, h.point_format, h.epsg, h.version) == (500, point_format, 32632, "1.4" if point_format > 5 else "1.2")
+    got = las.read_las(spark, path).orderBy("pid").toPandas()
+    assert np.array_equal(got["gps_time"], time) and (got["number_of_returns"] == 3).all() and np.array_equal(got["classification"], a["classification"])
+    assert np.array_equal(got["red"], a["red"]) if h.has_colour else got["red"].isna().all()
+    files = las.write_las(las.read_las(spark, path), str(tmp_path / "out"), 32632).collect()
+    assert las.read_header(files[0]["file"]).point_format == (3 if h.has_colour else 1)
+    with pytest.raises(NotSupportedError):
+        las.encode(a["x"], a["y"], a["z"], point_format=5)
+
+
 def test_las_errors(tmp_path):
     bad = tmp_path / "bad.las"
     bad.write_bytes(b"nothing")
@@ -154,7 +172,7 @@ def test_control_without_names(spark, tmp_path):
     path.write_text("1 2 3\n4 5 6\n")
     assert vector.read_control(spark, str(path)).count() == 2
     with pytest.raises(NotSupportedError):
-        vector.read_control(spark, "a.shp")
+        vector.read_control(spark, "a.kml")
     got = vector.read_control(spark, [{"id": "a", "x": 1, "y": 2, "z": 3, "type": "CHECK"}, ("b", 4, 5, 6)]).orderBy("x").collect()
     assert [r["point_type"] for r in got] == ["CHECK", "GCP"]
     assert vector.read_control(spark, vector.read_control(spark, [(1, 2, 3)])).first()["z"] == 3.0
@@ -180,6 +198,32 @@ def test_geojson(spark, tmp_path):
     assert {f["geometry"]["type"] for f in vector.parsed(out)["features"]} == {"LineString"}
 
 
+def test_vector_files(spark, tmp_path):
+    points = spark.createDataFrame([("A", 1.5, 2.0, 3.25, "GCP"), ("Ü", 4.0, 5.0, 6.0, "CHECK")], "id string, x double, y double, z double, type string")
+    for name in ("a.shp", "a.gpkg"):
+        rows = vector.read_control(spark, vector.write_control(points, str(tmp_path / name))).orderBy("x").collect()
+        assert [tuple(r) for r in rows] == [("A", 1.5, 2.0, 3.25, "GCP"), ("Ü", 4.0, 5.0, 6.0, "CHECK")]
+    table = bytearray((tmp_path / "a.dbf").read_bytes())
+    table[int.from_bytes(table[8:10], "little")] = ord("*")  # the first record is deleted
+    (tmp_path / "a.dbf").write_bytes(bytes(table))
+    assert [r["point_id"] for r in vector.read_control(spark, str(tmp_path / "a.shp")).collect()] == ["Ü"]
+    ring = [(0.0, 0.0), (0.0, 4.0), (5.0, 4.0), (5.0, 0.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2ii", 5, 0, 0, 5, 4, 1, 5, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    null = struct.pack("<i", 0)
+    shp = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 0) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
+    for k, b in enumerate((null, body)):
+        shp += struct.pack(">2i", k + 1, len(b) // 2) + b
+    (tmp_path / "c.shp").write_bytes(shp)
+    (tmp_path / "c.dbf").write_bytes(vector_files.shapefile_bytes([(0, 0, 0)] * 2, [{"id": "none"}, {"id": "CHIP"}])[2])
+    assert [tuple(r) for r in vector.read_chips(spark, str(tmp_path / "c.shp")).collect()] == [("CHIP", 0.0, 0.0, 5.0, 4.0)]
+    for name in ("bad.shp", "bad.gpkg"):
+        (tmp_path / name).write_bytes(b"nothing like it")
+        with pytest.raises(FormatError):
+            vector.read_control(spark, str(tmp_path / name))
+    empty = vector.write_control(points.where("z > 100"), str(tmp_path / "none.gpkg"))
+    assert vector.read_control(spark, empty).count() == 0
+
+
 def test_crs():
     assert crs.resolve() == 32632 and crs.resolve(4326) == 4326 and crs.resolve("epsg:25832") == 25832 and crs.resolve("3857") == 3857
     assert crs.resolve(prj='PROJCS["x",GEOGCS["y",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32633"]]') == 32633
