@@ -58,7 +58,7 @@ _VOID_SQL = _sql([DEM], 'select r as "row", c as col, case when (r*7+c*13)%97<>0
 @query(_VOID_SQL)
 def geotiff_round_trip(spark: SparkSession, d: str) -> DataFrame:
     df, spec = raster(spark, d)
-    path = geotiff.write_geotiff(adapters.with_voids(df), spec, f"{workspace(spark, 'tif')}.tif", dtype="f8")
+    path = geotiff.write_geotiff(adapters.with_voids(df), spec, f"{workspace(spark, 'tif')}.tif", dtype="f8", compression=5)
     return geotiff.read_geotiff(spark, path)[0]
 
 

@@ -232,7 +232,7 @@ def _check(dtype: str, compression: int) -> None:
         raise NotSupportedError(f"TIFF compression {compression}")
 
 
-def write_geotiff(raster: DataFrame, spec: GridSpec, path: str, columns: list[str] | None = None, dtype: str = "f4", nodata: float = -10000.0, strip: int = 64, compression: int = codecs.LZW) -> str:
+def write_geotiff(raster: DataFrame, spec: GridSpec, path: str, columns: list[str] | None = None, dtype: str = "f4", nodata: float = -10000.0, strip: int = 64, compression: int = codecs.DEFLATE) -> str:
     """Write one striped GeoTIFF, a BigTIFF where 4 GB do not hold it.
 
     Strips are made and compressed in tasks and pass the driver one after the other; for rasters beyond
@@ -274,7 +274,7 @@ def write_geotiff(raster: DataFrame, spec: GridSpec, path: str, columns: list[st
     return path
 
 
-def write_tiles(raster: DataFrame, spec: GridSpec, folder: str, columns: list[str] | None = None, dtype: str = "f4", nodata: float = -10000.0, tile: int = 2048, compression: int = codecs.LZW) -> DataFrame:
+def write_tiles(raster: DataFrame, spec: GridSpec, folder: str, columns: list[str] | None = None, dtype: str = "f4", nodata: float = -10000.0, tile: int = 2048, compression: int = codecs.DEFLATE) -> DataFrame:
     """Write a georeferenced GeoTIFF a tile that has cells, each in its own task; (file, row, col) of each tile's first cell.
 
     A tile's file has a fixed name, so a task that runs again writes the same file. Tiles without cells have no file.
