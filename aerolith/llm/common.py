@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,6 +119,22 @@ def running(df: DataFrame, group: list[str], lane: str, order: list[str], value:
     )
 
 
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library hold of freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable, batches: Iterator, *args) -> Iterator:
+    """What work gives for a task's batches; after them, the waiting Python worker holds no memory that the task has freed."""
+    try:
+        yield from work(batches, *args)
+    finally:
+        give_back()
+
+
 def open_store(uri: str) -> tuple:
     """File system and path of a URI, for any store that Arrow knows; a bare path is local."""
     from pyarrow import fs

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import WordHash, components, fresh, mixed, n_partitions, settle
+from aerolith.llm.common import WordHash, components, fresh, lean, mixed, n_partitions, settle
 from aerolith.llm.quality import row_hash
 
 SHINGLE = 5
@@ -166,9 +166,9 @@ def runs_of(sets: DataFrame, threshold: float, run: int = RUN) -> DataFrame:
     rows = rows.select("fp", F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), "path").alias("path"))
     parts = max(n_partitions(sets.sparkSession), -(-TREES * sets.count() // PATHS))
     tries = settle(rows.repartitionByRange(parts, "path", "fp").sortWithinPartitions("path", "fp"))
-    ends = tries.mapInArrow(lambda b: _ends(b, depths), "part long, n long, first binary, last binary, lead array<long>, tail array<long>").collect()  # a row a part
+    ends = tries.mapInArrow(lambda b: lean(_ends, b, depths), "part long, n long, first binary, last binary, lead array<long>, tail array<long>").collect()  # a row a part
     beyond = outside(ends, depths)
-    shared = tries.mapInArrow(lambda b: _shared(b, beyond, depths, run), "fp binary, node binary, m long")
+    shared = tries.mapInArrow(lambda b: lean(_shared, b, beyond, depths, run), "fp binary, node binary, m long")
     return shared.select(F.xxhash64("node").alias("run_id"), "m", "fp")
 
 
@@ -312,7 +312,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     least = int(np.floor(TREES * DEPTH * (s - SLACK * np.sqrt(s * (1 - s) / (TREES * DEPTH)))))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), row_hash(docs[key], docs[text]).alias("_row"), docs[text].cast("binary").alias("_text"))
-    signed = settle(rows.mapInPandas(_signed, f"key {kind}, _row long, fp binary, n long, sig binary"))
+    signed = settle(rows.mapInPandas(lambda b: lean(_signed, b), f"key {kind}, _row long, fp binary, n long, sig binary"))
     sets = settle(
         signed.where("fp IS NOT NULL")
         .groupBy("fp")
@@ -323,13 +323,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     runs = forest.groupBy("run_id").agg(F.max("m").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who")).groupBy("m", "who").agg(F.min("run_id").alias("run_id"))
     members = forest.join(runs.select("run_id"), "run_id", "left_semi")
     met = tiled(members, "run_id", "m", "fp", SIGNED).join(sets.select("fp", "sig"), "fp")
-    edges = by_tile(met.select("run", "a", "b", "tile", "fp", "sig"), lambda b: _alike(b, least), "u binary, v binary")
+    edges = by_tile(met.select("run", "a", "b", "tile", "fp", "sig"), lambda b: lean(_alike, b, least), "u binary, v binary")
     groups = components(edges)
     sized = groups.groupBy("root").agg(F.count("*").alias("m"))
     grouped = groups.join(sized, "root").join(sets.select(F.col("fp").alias("node"), "rep", "copies"), "node")
     want = tiled(grouped.withColumnRenamed("node", "fp"), "root", "m", "fp").select("run", "a", "b", "tile", "fp", "copies", F.col("rep._row").alias("_want"), F.col("rep.key").alias("_key"))
     met = want.join(rows, (F.col("_want") == F.col("_row")) & F.col("_key").eqNullSafe(F.col("key")))
-    found = settle(by_tile(met.select("run", "a", "b", "tile", "fp", "copies", "_text"), lambda b: _verified(b, num, den), "fp binary, links long, least binary"))
+    found = settle(by_tile(met.select("run", "a", "b", "tile", "fp", "copies", "_text"), lambda b: lean(_verified, b, num, den), "fp binary, links long, least binary"))
     roots = components(found.select(F.col("fp").alias("u"), F.col("least").alias("v")))
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = sets.select("fp", "key", "copies").join(links, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import WordHash, fresh, mixed, settle, spread
+from aerolith.llm.common import WordHash, fresh, lean, mixed, settle, spread
 
 BITS = 16
 #: Most labelled rows that the target model and the cut are fitted on, the least by hash.
@@ -120,7 +120,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     marks = marks.orderBy(spread(F.col("_key"), seed), "_key").limit(labelled).withColumn("_fit", F.pmod(spread(F.col("_key"), seed + 100), F.lit(3)) > 0)
     rows = docs.select(docs[key].alias("key"), docs[text].cast("binary").alias("_text"), row_hash(docs[key], docs[text]).alias("_row"))
     rows = rows.join(F.broadcast(settle(marks)), rows["key"] == F.col("_key"), "left").drop("_key")
-    counts = rows.select("_text", (F.col("_fit") & (F.col("_good") == 1)).alias("_good")).mapInPandas(lambda b: _counted(b, bits), "bucket int, raw long, good long")
+    counts = rows.select("_text", (F.col("_fit") & (F.col("_good") == 1)).alias("_good")).mapInPandas(lambda b: lean(_counted, b, bits), "bucket int, raw long, good long")
     found = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[found["bucket"]], good[found["bucket"]] = found["raw"], found["good"]
@@ -128,7 +128,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ratio = (model(good) - model(raw)).astype(np.float32)
     held = spark.sparkContext.broadcast(ratio)
     kind = rows.schema["key"].dataType.simpleString()
-    scored = settle(rows.mapInPandas(lambda b: _scored(b, held.value, bits), f"key {kind}, _row long, _good int, _fit boolean, n_features long, ratio double"))
+    scored = settle(rows.mapInPandas(lambda b: lean(_scored, b, held.value, bits), f"key {kind}, _row long, _good int, _fit boolean, n_features long, ratio double"))
     fit = scored.where("_good IS NOT NULL AND NOT _fit AND n_features > 0").select("_good", "ratio").toPandas()
     ok, bad = fit.loc[fit["_good"] == 1, "ratio"].to_numpy(), fit.loc[fit["_good"] == 0, "ratio"].to_numpy()
     cut = best_cut(ok, bad)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import open_store, put, settle, workspace
+from aerolith.llm.common import lean, open_store, put, settle, workspace
 
 MAGIC = b"AWM1"
 CHUNK = 1 << 15
@@ -338,12 +338,15 @@ def token_count(text: Column, tokenizer_json: str, end: int = END, special: bool
     bits, whole = id_bits(spec, end), not drops_white_space(spec)
     held = SparkSession.active().sparkContext.broadcast(tokenizer_json)
 
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = _text_ids(held.value, bits > 16, whole, end, special)
         for texts in batches:
             parts = by_bytes(pa.RecordBatch.from_arrays([texts], ["_text"]), "_text")
             yield pa.array(np.concatenate([np.empty(0, np.int64), *(ids.lengths(p.column("_text")) for p in parts)]), pa.int64())
 
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lean(counted, batches)
+
     return F.arrow_udf(count, "long")(text.cast("string"))
 
 
