@@ -397,7 +397,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, key: str = "doc
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     by = [F.col("key").asc_nulls_last(), F.xxhash64("_text").asc()]
     placed = rows.repartitionByRange(max(1, min(SHARDS, -(-total // shard_bytes))), *by).sortWithinPartitions(*by)
-    return settle(placed.mapInArrow(lambda b: _written(b, folder, held.value, bits, whole, end, segment, special), "shard int, seg int, file string, n_tokens long, n_docs long"))
+    return settle(placed.mapInArrow(lambda b: lean(_written, b, folder, held.value, bits, whole, end, segment, special), "shard int, seg int, file string, n_tokens long, n_docs long"))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,7 +419,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     rows = manifest.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(before("shard", "seg")), F.lit(0)))
     rows = rows.join(F.broadcast(shards), "shard").select("file", (F.col("_before") + F.col("_inside")).alias("first"))
     spread_out = rows.repartition(max(1, manifest.count()), "file")
-    return spread_out.mapInPandas(_read, "key long, start long, n_tokens long, ids_crc32 long")
+    return spread_out.mapInPandas(lambda b: lean(_read, b), "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def locate(manifest: DataFrame, token: int) -> DataFrame:

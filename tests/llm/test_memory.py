@@ -44,6 +44,6 @@ def left_over(job: str, folder) -> float:
     return float(out.split("held")[-1])
 
 
-@pytest.mark.parametrize("job", ["classifier", "join", "packing"])
+@pytest.mark.parametrize("job", ["classifier", "join", "packing", "ids"])
 def test_waiting_workers_hold_no_batches(job, tmp_path):
     assert left_over(job, tmp_path) < 12
