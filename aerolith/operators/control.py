@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.grid import cell_of
@@ -13,26 +15,54 @@ from aerolith.operators.surfaces import ground_points
 from aerolith.plans.storage import settle
 from aerolith.schema import ControlPointError, GridSpec
 
+#: Places of control points that are sent to every task whole, each to nine buckets.
+PLACES = 50_000
+
 
 def _status(tolerance: float) -> Column:
     off = F.abs("delta")
     return F.when(off <= tolerance, "PASS").when(off <= 1.5 * tolerance, "WARNING").otherwise("FAIL")
 
 
+def _nearest_within(cloud: DataFrame, places: DataFrame, radius: float, k: int) -> DataFrame:
+    """gx, gy and near: the k nearest points nearer than radius, in order of (d2, pid, z); places without any are absent.
+
+    A place is first asked within a reach that holds about 4 k points at the cloud's mean density, and again within four times
+    that only while it lacks k. A task keeps k points a place before the shuffle, so what is written does not grow with the density.
+    """
+    x0, x1, y0, y1, n = cloud.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    area = (x1 - x0) * (y1 - y0) if n and None not in (x0, y0) else 0.0
+    reach, found = min(radius, math.sqrt(4 * k * area / (math.pi * n))) if area > 0 else radius, []
+    places = settle(places)
+    while True:
+        side = reach * (1 + 1e-6)  # rounding never puts a point within reach two buckets away
+        bucket = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
+        near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
+        asked = places.withColumn("_i", F.explode(F.transform(near, lambda d: bucket("gx") + d))).withColumn("_j", F.explode(F.transform(near, lambda d: bucket("gy") + d)))
+        asked = F.broadcast(asked) if places.count() <= PLACES else asked
+        dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
+        hits = cloud.select("pid", "x", "y", "z", bucket("x").alias("_i"), bucket("y").alias("_j")).join(asked, ["_i", "_j"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") < reach * reach)
+        rank = F.row_number().over(Window.partitionBy("gx", "gy").orderBy("d2", "pid", "z"))
+        kept = hits.select("gx", "gy", "d2", "pid", "z", rank.alias("_rank")).where(F.col("_rank") <= k)
+        lists = settle(kept.groupBy("gx", "gy").agg(F.sort_array(F.collect_list(F.struct("d2", "pid", "z"))).alias("near")))
+        if reach >= radius:
+            return reduce(DataFrame.unionByName, [*found, lists])
+        found.append(lists.where(F.size("near") >= k))
+        places = settle(places.join(found[-1], ["gx", "gy"], "left_anti"))
+        if places.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        reach = min(radius, 4 * reach)
+
+
 def cloud_residuals(points: DataFrame, control: DataFrame, radius: float = 2.5, k: int = 6, tolerance: float = 0.05, ground_only: bool = True) -> DataFrame:
     """Height of the k nearest (ground) points within the radius against each control point; others drop out.
 
-    Points meet control points through equal buckets as wide as the radius, so only those near
-    one are shuffled; Spark broadcasts the control side while it is small.
+    Each place is asked once however many control points lie there; a control point given m times counts each point m times.
     """
     cloud = ground_points(points) if ground_only else points
-    bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
-    near = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: d)
-    asked = control.select("point_id", "point_type", F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
-    asked = asked.withColumn("_i", F.explode(F.transform(near, lambda d: bucket("gx") + d))).withColumn("_j", F.explode(F.transform(near, lambda d: bucket("gy") + d)))
-    dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
-    hits = cloud.select("pid", "x", "y", "z", bucket("x").alias("_i"), bucket("y").alias("_j")).join(asked, ["_i", "_j"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") < radius * radius)
-    lists = hits.groupBy("point_id", "point_type", "gx", "gy", "gz").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "pid", "z"))), 1, k).alias("near"))
+    asked = control.groupBy("point_id", "point_type", F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz")).agg(F.count("*").cast("int").alias("_m"))
+    near = _nearest_within(cloud, asked.select("gx", "gy").where("gx IS NOT NULL AND gy IS NOT NULL").distinct(), radius, k)
+    lists = asked.join(near, ["gx", "gy"]).withColumn("near", F.slice(F.flatten(F.transform("near", lambda s: F.array_repeat(s, F.col("_m")))), 1, k))
     first = F.get("near", F.lit(0))
     total = lambda f: F.aggregate("near", F.lit(0.0), lambda a, s: a + f(s))
     height = F.when(first["d2"] < 1e-8, first["z"]).otherwise(total(lambda s: s["z"] / F.greatest(s["d2"], F.lit(1e-8))) / total(lambda s: 1.0 / F.greatest(s["d2"], F.lit(1e-8))))

@@ -40,6 +40,30 @@ def test_direct_hit_takes_the_point(spark):
     assert len(rows) == 1 and rows[0]["z_surface"] == 42.0 and rows[0]["status"] == "PASS"
 
 
+def test_residuals_of_dense_clouds_write_few_rows(spark):
+    # before, every point within the radius was written for every control point
+    rng = np.random.default_rng(3)
+    n, k, radius = 20_000, 6, 4.0
+    x, y, pid = np.r_[rng.uniform(0, 10, n), 60.0], np.r_[rng.uniform(0, 10, n), 60.0], np.arange(n + 1)
+    z = np.sin(x) + y
+    pts = spark.createDataFrame(pd.DataFrame({"pid": pid, "x": x, "y": y, "z": z, "classification": np.full(n + 1, 2, np.int32)})).repartition(4).cache()
+    pts.count()
+    spots = [(f"p{i}", 3.0 + i % 4, 5.0, float(i)) for i in range(200)] + [("thin", 60.0, 59.0, 1.0), ("corner", -2.0, -2.0, 1.0), ("none", 30.0, 30.0, 1.0), ("twice", 5.0, 6.0, 1.0), ("twice", 5.0, 6.0, 1.0)]
+    gcp = spark.createDataFrame([(*s, "GCP") for s in spots], "point_id string, x double, y double, z double, point_type string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {r["point_id"]: r for r in cp.cloud_residuals(pts, gcp, radius, k).collect()}
+    assert written() - before < 1_000_000
+    assert set(got) == {s[0] for s in spots} - {"none"} and got["thin"]["neighbours"] == 1
+    for name, gx, gy, gz in spots:
+        if name in got:
+            d2 = (x - gx) ** 2 + (y - gy) ** 2
+            m = 2 if name == "twice" else 1  # a control point given twice meets each point twice, as in the SQL
+            at = np.repeat(np.argsort(d2, kind="stable")[: (d2 < radius**2).sum()][:k], m)[:k]
+            w = 1 / np.maximum(d2[at], 1e-8)
+            assert got[name]["delta"] == pytest.approx((z[at] * w).sum() / w.sum() - gz)
+
+
 def test_raster_control(spark):
     spec = GridSpec(0.0, 100.0, 1.0, 1.0, 100, 100)
     dem = as_raster(spark, np.full((100, 100), 100.0))
