@@ -16,13 +16,14 @@ from aerolith.plans.registry import _RESID, _sql, DEM, GCP, PTS, oracle_sql, que
 from aerolith.plans.storage import workspace
 from aerolith.sources import crs, geotiff, las, rasters, vector
 
+PART_POINTS = 2_000_000
 _TIME = "pid % 100000 / CAST(4 AS DOUBLE)"
 
 
 def _las(spark: SparkSession, d: str, point_format: int | None = None) -> DataFrame:
-    """The files of the cloud with times, in four parts."""
+    """The files of the cloud with times, in four parts or in as many as hold about PART_POINTS each."""
     p = adapters.points(spark, d).withColumn("gps_time", F.expr(_TIME))
-    return las.write_las(p.repartition(4, "pid"), workspace(spark, "las"), 32632, point_format)
+    return las.write_las(p.repartition(max(4, -(-p.count() // PART_POINTS)), "pid"), workspace(spark, "las"), 32632, point_format)
 
 
 _LAS_SQL = _sql([f"pts as ({PTS})"], f"select round(x,3) x, round(y,3) y, round(z,3) z, cast(classification as int) classification, cast(return_number as int) return_number, cast(intensity as int) intensity, cast(red as int) red, cast(green as int) green, cast(blue as int) blue, {_TIME} gps_time from pts")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from pyspark.sql.types import StructType
 from aerolith.schema import POINT, FormatError, NotSupportedError
 
 RECORDS = 500_000
+#: Records that are encoded or decoded at a time.
+STEP = 100_000
 #: Fields of a point record by offset, from the LAS specification.
 OLD = {"X": ("<i4", 0), "Y": ("<i4", 4), "Z": ("<i4", 8), "intensity": ("<u2", 12), "flags": ("u1", 14), "classification": ("u1", 15), "source": ("<u2", 18)}
 NEW = {"X": ("<i4", 0), "Y": ("<i4", 4), "Z": ("<i4", 8), "intensity": ("<u2", 12), "flags": ("u1", 14), "classification": ("u1", 16), "source": ("<u2", 20)}
@@ -127,7 +130,7 @@ class LasReader(DataSourceReader):
         return out
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        h, step = part.header, 100_000
+        h, step = part.header, STEP
         with _open(part.path) as f:
             for i in range(part.first, part.first + part.count, step):
                 n = min(step, part.first + part.count - i)
@@ -169,50 +172,71 @@ def read_las(spark: SparkSession, *paths: str, records: int = RECORDS) -> DataFr
     return spark.read.format("las").option("records", records).load(",".join(paths))
 
 
-def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification=None, return_number=None, number_of_returns=None, intensity=None, colour=None, epsg: int | None = None, scale: float = 0.001, gps_time=None, point_format: int | None = None) -> bytes:
-    """A LAS file of points: version 1.2, or 1.4 for formats from 6 on; by default the least format that holds colours and times."""
-    n = len(x)
-    fmt = 2 * (colour is not None) + (gps_time is not None) if point_format is None else point_format
+def _format(point_format: int | None, coloured: bool, timed: bool) -> int:
+    fmt = 2 * coloured + timed if point_format is None else point_format
     if fmt not in SIZE:
         raise NotSupportedError(f"point format {fmt}; formats {sorted(SIZE)} can be written")
-    wide = fmt >= 6
-    shift = [float(np.floor(v.min())) if n else 0.0 for v in (x, y, z)]
-    h = Header("1.4" if wide else "1.2", fmt, SIZE[fmt], 0, n, (scale,) * 3, tuple(shift), (0.0,) * 3, (0.0,) * 3, epsg)
+    return fmt
+
+
+def _layout(fmt: int, n: int = 0, epsg: int | None = None, scale: float = 0.001, shift: tuple = (0.0,) * 3, mins: tuple = (0.0,) * 3, maxs: tuple = (0.0,) * 3) -> Header:
+    return Header("1.4" if fmt >= 6 else "1.2", fmt, SIZE[fmt], 0, n, (scale,) * 3, tuple(shift), tuple(mins), tuple(maxs), epsg)
+
+
+def _records(h: Header, n: int, classification=None, return_number=None, number_of_returns=None, intensity=None, colour=None, gps_time=None) -> np.ndarray:
+    """Point records without their places."""
     rec = np.zeros(n, _dtype(h))
-    for c, v, s in zip("XYZ", (x, y, z), shift, strict=True):
-        rec[c] = np.rint((v - s) / scale)
     some = lambda v, default: np.full(n, default) if v is None else np.asarray(v)
     rec["classification"] = some(classification, 0)
-    rec["flags"] = some(return_number, 1) | some(number_of_returns, 1) << (4 if wide else 3)
+    rec["flags"] = some(return_number, 1) | some(number_of_returns, 1) << (4 if h.point_format >= 6 else 3)
     rec["intensity"] = some(intensity, 0)
     if h.has_time:
         rec["gps_time"] = some(gps_time, 0.0)
     if h.has_colour and colour is not None:
         for i, c in enumerate(("red", "green", "blue")):
             rec[c] = colour[i]
-    vlr = b""
-    if epsg is not None:
-        keys = struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg)
+    return rec
+
+
+def _place(rec: np.ndarray, h: Header, *places: np.ndarray) -> np.ndarray:
+    for k, v in enumerate(places):
+        rec["XYZ"[k]] = np.rint((v - h.shift[k]) / h.scale[k])
+    return rec
+
+
+def _head(h: Header) -> bytes:
+    """All that comes before the records."""
+    wide, vlr = h.point_format >= 6, b""
+    if h.epsg is not None:
+        keys = struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, h.epsg)
         vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 34735, len(keys), b"") + keys
     size = 375 if wide else 227
     head = bytearray(size)
     head[:4] = b"LASF"
     head[24:26] = bytes((1, 4 if wide else 2))
     head[8:24] = uuid.UUID(int=0).bytes
-    struct.pack_into("<HIIBHI", head, 94, size, size + len(vlr), 1 if vlr else 0, fmt, SIZE[fmt], 0 if wide else n)
-    struct.pack_into("<3d3d", head, 131, scale, scale, scale, *shift)
-    ends = [v for a in (x, y, z) for v in ((float(a.max()), float(a.min())) if n else (0.0, 0.0))]
-    struct.pack_into("<6d", head, 179, *ends)
+    struct.pack_into("<HIIBHI", head, 94, size, size + len(vlr), 1 if vlr else 0, h.point_format, h.record_length, 0 if wide else h.count)
+    struct.pack_into("<3d3d", head, 131, *h.scale, *h.shift)
+    struct.pack_into("<6d", head, 179, *[v for ends in zip(h.maxs, h.mins, strict=True) for v in ends])
     if wide:
-        struct.pack_into("<Q", head, 247, n)
-    return bytes(head) + vlr + rec.tobytes()
+        struct.pack_into("<Q", head, 247, h.count)
+    return bytes(head) + vlr
+
+
+def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification=None, return_number=None, number_of_returns=None, intensity=None, colour=None, epsg: int | None = None, scale: float = 0.001, gps_time=None, point_format: int | None = None) -> bytes:
+    """A LAS file of points: version 1.2, or 1.4 for formats from 6 on; by default the least format that holds colours and times."""
+    n, none = len(x), (0.0,) * 3
+    mins, maxs = ([float(f(v)) for v in (x, y, z)] if n else none for f in (np.min, np.max))
+    h = _layout(_format(point_format, colour is not None, gps_time is not None), n, epsg, scale, np.floor(mins).tolist(), mins, maxs)
+    return _head(h) + _place(_records(h, n, classification, return_number, number_of_returns, intensity, colour, gps_time), h, x, y, z).tobytes()
 
 
 def write_las(points: DataFrame, folder: str, epsg: int | None = None, point_format: int | None = None) -> DataFrame:
     """Write each partition as a LAS file in the folder; returns (file, points).
 
     Without a point format it is the least that holds what is there: one narrow aggregate tells whether any point has a
-    time or a colour. A partition's file has a fixed name, so a task that runs again writes the same file.
+    time or a colour. A partition's file has a fixed name, so a task that runs again writes the same file. A task holds a
+    batch of points at a time, whatever the size of its partition.
     """
     has = set(points.columns)
     wanted = [("gps_time", "gps_time"), ("red", "red")] if point_format is None else []
@@ -220,24 +244,38 @@ def write_las(points: DataFrame, folder: str, epsg: int | None = None, point_for
     colour = {"red", "green", "blue"} <= has and (bool(there.get("red")) if wanted else point_format in COLOUR_AT)
     timed = "gps_time" in has and (bool(there.get("gps_time")) if wanted else point_format in TIME_AT)
 
+    fmt = _format(point_format, colour, timed)
+
     def save(batches):
         import pandas as pd
         from pyarrow import fs
         from pyspark import TaskContext
 
-        frames = [b for b in batches if len(b)]
-        done = []
-        if frames:
-            p = pd.concat(frames)
-            get = lambda c: p[c].fillna(0).to_numpy().astype(np.int64) if c in has else None
-            times = p["gps_time"].fillna(0).to_numpy() if timed else None
-            data = encode(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), get("classification"), get("return_number"), get("number_of_returns"), get("intensity"), [get(c) for c in ("red", "green", "blue")] if colour else None, epsg, gps_time=times, point_format=point_format)
-            store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-            name = f"part-{TaskContext.get().partitionId():06d}.las"
-            store.create_dir(at, recursive=True)
-            with store.open_output_stream(f"{at}/{name}") as f:
-                f.write(data)
-            done.append((f"{folder}/{name}", len(p)))
+        draft, n, mins, maxs, done = _layout(fmt), 0, np.full(3, np.inf), np.full(3, -np.inf), []
+        # records wait in the task's own scratch files until the least place, from which all are measured, is known
+        with tempfile.TemporaryFile() as places, tempfile.TemporaryFile() as records:
+            for p in batches:
+                if not len(p):
+                    continue
+                get = lambda c: p[c].fillna(0).to_numpy().astype(np.int64) if c in has else None  # noqa: B023, E731
+                at = p[["x", "y", "z"]].to_numpy(np.float64)
+                mins, maxs, n = np.minimum(mins, at.min(axis=0)), np.maximum(maxs, at.max(axis=0)), n + len(p)
+                places.write(at.tobytes())
+                times = p["gps_time"].fillna(0).to_numpy() if timed else None
+                records.write(_records(draft, len(p), get("classification"), get("return_number"), get("number_of_returns"), get("intensity"), [get(c) for c in ("red", "green", "blue")] if colour else None, times).tobytes())
+            if n:
+                h = _layout(fmt, n, epsg, shift=np.floor(mins).tolist(), mins=mins.tolist(), maxs=maxs.tolist())
+                store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                name = f"part-{TaskContext.get().partitionId():06d}.las"
+                store.create_dir(at, recursive=True)
+                places.seek(0)
+                records.seek(0)
+                with store.open_output_stream(f"{at}/{name}") as f:
+                    f.write(_head(h))
+                    while raw := records.read(STEP * h.record_length):
+                        rec = np.frombuffer(bytearray(raw), _dtype(h))
+                        f.write(_place(rec, h, *np.frombuffer(places.read(len(rec) * 24)).reshape(-1, 3).T).tobytes())
+                done.append((f"{folder}/{name}", n))
         yield pd.DataFrame(done, columns=["file", "points"])
 
     return points.mapInPandas(save, "file string, points long")

@@ -1,7 +1,9 @@
 import json
 import struct
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,25 @@ def test_las_formats(spark, cloud_arrays, tmp_path, point_format):
         las.encode(a["x"], a["y"], a["z"], point_format=5)
 
 
+@pytest.mark.parametrize("point_format", [3, 7])
+def test_las_writer_holds_a_batch_at_a_time(cloud_arrays, tmp_path, monkeypatch, point_format):
+    # before, a task held all points of its partition
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    a, n = {k: np.tile(v, 200) for k, v in cloud_arrays.items()}, 600_000
+    a["x"] = a["x"] - np.arange(n) // 3000  # the least place comes last
+    a["gps_time"] = np.arange(n) / 8
+    frames = (pd.DataFrame({k: v[i : i + 10_000] for k, v in a.items()}) for i in range(0, n, 10_000))
+    points = type("Points", (), {"columns": list(a), "mapInPandas": lambda self, f, schema: f})()
+    save = las.write_las(points, str(tmp_path), 32632, point_format)
+    tracemalloc.start()
+    out = pd.concat(save(frames))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["points"].sum() == n and peak < 40e6
+    whole = las.encode(a["x"], a["y"], a["z"], a["classification"], a["return_number"], None, a["intensity"], [a["red"], a["green"], a["blue"]], 32632, gps_time=a["gps_time"], point_format=point_format)
+    assert open(out["file"].iloc[0], "rb").read() == whole
+
+
 def test_las_errors(tmp_path):
     bad = tmp_path / "bad.las"
     bad.write_bytes(b"nothing")
