@@ -32,22 +32,20 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float]
             found |= {r: a for r, _ in ranges.pop((a, b))[0]}
         if not ranges:
             break
-        inside = [x.between(a, b) for a, b in ranges]
+        order = sorted(ranges)  # they do not overlap
+        # each value once and one range by its place: conditions on a computed column, or filters on it, would compute it once a range
+        of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
+        placed = df.select(x.alias("x")).withColumn("i", sum(((F.col("x") >= a).cast("int") for a, _ in order), F.lit(-1)))
+        inside = F.col("x") <= of([b for _, b in order])
         if sum(m for _, m in ranges.values()) <= MOST:
-            any_of = inside[0]
-            for c in inside[1:]:
-                any_of = any_of | c
-            values = sorted(r[0] for r in df.where(any_of).select(x).collect())
-            for (a, b), (ranks, _) in ranges.items():
-                here = [v for v in values if a <= v <= b]
-                found |= {r: here[k] for r, k in ranks}
+            values = sorted((r["v"], r["m"]) for r in placed.groupBy(F.when(inside, F.col("x")).alias("v")).agg(F.count("x").alias("m")).collect() if r["v"] is not None)
+            for a, b in order:
+                here = [v for v, m in values if a <= v <= b for _ in range(m)]
+                found |= {r: here[k] for r, k in ranges[a, b][0]}
             break
-        order, number = list(ranges), F.lit(None).cast("int")
-        at = F.lit(None).cast("long")
-        for i, ((a, b), c) in enumerate(zip(order, inside, strict=True)):
-            number = F.when(c, i).otherwise(number)
-            at = F.when(c, F.least(F.floor((x - a) / max((b - a) / BINS, 5e-324)), F.lit(BINS - 1)).cast("long")).otherwise(at)
-        rows = df.select(x.alias("x"), number.alias("i"), at.alias("b")).where("i IS NOT NULL").groupBy("i", "b").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        at = F.floor((F.col("x") - of([a for a, _ in order])) / of([max((b - a) / BINS, 5e-324) for a, b in order]))
+        placed = placed.select("x", "i", F.when(inside, F.least(at, F.lit(BINS - 1)).cast("long")).alias("b"))
+        rows = [r for r in placed.groupBy("i", "b").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect() if r["b"] is not None]
         narrower: dict = {}
         for i, key in enumerate(order):
             left = list(ranges[key][0])

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from aerolith.functions import quantiles
 from aerolith.functions.grid import grid_of
@@ -83,3 +84,16 @@ def test_percentiles_are_exact(spark, monkeypatch):
         assert quantiles.percentiles(df, "v", shares) == pytest.approx(np.quantile(v, shares).tolist())
     assert quantiles.percentiles(df.where("v IS NULL"), "v", [0.5]) is None
     assert quantiles.percentiles(spark.createDataFrame([(3.0,)], "v double"), "v", [0.1, 0.9]) == [3.0, 3.0]
+
+
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_percentiles_compute_a_value_once_a_row(spark, monkeypatch, most):
+    # before, each range's conditions repeated the column's whole expression
+    monkeypatch.setattr(quantiles, "MOST", most)
+    df = spark.range(20_000).select((F.sqrt("id") * 12345.678).alias("v"))
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    v = np.sqrt(np.arange(20_000)) * 12345.678
+    shares = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    assert quantiles.percentiles(df, "v", shares) == pytest.approx(np.quantile(v, shares).tolist())
+    assert plans and max(p.count("12345.678") for p in plans) == 1
