@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.functions.graph import least_reachable
+from aerolith.functions.graph import components
 from aerolith.functions.grid import every
 from aerolith.functions.stencil import along, box3, down, gradient, unmasked
 from aerolith.plans.storage import settle
@@ -17,6 +19,8 @@ from aerolith.schema import ConfigurationError, GridSpec, same_grid
 
 #: What a stencil sees in a cell without data.
 SENTINEL = -10000.0
+#: Squares along a tile's side, within which contours are chained at first.
+TILE = 128
 
 
 def valid(raster: DataFrame, nodata: float | None = None, z: str = "z", floor: float = -500.0) -> DataFrame:
@@ -116,14 +120,35 @@ def contour_segments(raster: DataFrame, spec: GridSpec, interval: float = 1.0, b
     return out.select("level", x("p").alias("x1"), y("p").alias("y1"), x("q").alias("x2"), y("q").alias("y2"), F.col("s.p.n").alias("a"), F.col("s.q.n").alias("b"))
 
 
-def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lines of one connected set of segments, as vertex lists."""
+def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A tile's segments with label, a node of the chain that they form within the tile, and whether nothing in the tile goes on at their ends."""
+    n = len(pdf)
+    named, names = pd.factorize(pd.concat([pdf["a"], pdf["b"]]))
+    at, nodes = pd.factorize(np.tile(pd.factorize(pdf["level"])[0], 2).astype(np.int64) * len(names) + named)
+    up = list(range(len(nodes)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
+    label = np.asarray(names)[nodes[[top(i) for i in at[:n].tolist()]] % len(names)]
+    single = np.bincount(at)[at] == 1
+    return pdf.drop(columns=["ti", "tj"]).assign(label=label, open_a=single[:n], open_b=single[n:])
+
+
+def _chained(rows: list[tuple]) -> list[list[tuple[float, float]]]:
+    """Lines of one connected set of segments (x1, y1, x2, y2, a, b), as vertex lists."""
     ends: dict[str, list[int]] = {}
-    for i, (a, b) in enumerate(zip(pdf["a"], pdf["b"], strict=True)):
+    where: dict[str, tuple[float, float]] = {}
+    for i, (x1, y1, x2, y2, a, b) in enumerate(rows):
         ends.setdefault(a, []).append(i)
         ends.setdefault(b, []).append(i)
-    where = dict(zip(pdf["a"], zip(pdf["x1"], pdf["y1"], strict=True), strict=True)) | dict(zip(pdf["b"], zip(pdf["x2"], pdf["y2"], strict=True), strict=True))
-    sides, used, lines = list(zip(pdf["a"], pdf["b"], strict=True)), set(), []
+        where[a], where[b] = (x1, y1), (x2, y2)
+    used, lines = set(), []
     for start in sorted(ends, key=lambda n: (len(ends[n]) != 1, n)):  # open ends first, then rings
         for i in ends[start]:
             if i in used:
@@ -131,38 +156,54 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
             path, at = [start], start
             while i is not None:
                 used.add(i)
-                at = sides[i][1] if sides[i][0] == at else sides[i][0]
+                at = rows[i][5] if rows[i][4] == at else rows[i][4]
                 path.append(at)
                 i = next((j for j in ends[at] if j not in used), None)
-            lines.append([{"x": where[n][0], "y": where[n][1]} for n in path])
-    return pd.DataFrame({"level": pdf["level"].iloc[0], "line": lines})
+            lines.append([where[n] for n in path])
+    return lines
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _table(made: list[tuple[float, list]]) -> pa.RecordBatch:
+    places = np.array([p for _, line in made for p in line], dtype=np.float64).reshape(-1, 2)
+    ends = np.cumsum([0] + [len(line) for _, line in made]).astype(np.int32)
+    lines = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(places[:, k].copy()) for k in (0, 1)], ["x", "y"]))
+    return pa.RecordBatch.from_arrays([pa.array([level for level, _ in made], pa.float64()), lines], ["level", "line"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains each root's segments, which arrive together; one line's segments are in memory at a time."""
-    held, made, n = [], [], 0
-    for pdf in batches:
-        for _, g in pdf.groupby("root", sort=False):
-            if held and held[0]["root"].iloc[0] != g["root"].iloc[0]:
-                made.append(_chained(pd.concat(held)))
-                n, held = n + len(made[-1]), []
-                if n > 256:
-                    yield pd.concat(made)
-                    n, made = 0, []
-            held.append(g)
+    root, level, held, made, size = None, None, [], [], 0
+    for batch in batches:
+        for name, here, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and name != root:
+                made += [(level, line) for line in _chained(held)]
+                size, held = size + len(held), []
+                if size > 20_000:
+                    yield _table(made)
+                    made, size = [], 0
+            root, level = name, here
+            held.append(tuple(row))
     if held:
-        made.append(_chained(pd.concat(held)))
+        made += [(level, line) for line in _chained(held)]
     if made:
-        yield pd.concat(made)
+        yield _table(made)
 
 
 def contour_lines(segments: DataFrame) -> DataFrame:
-    """Segments joined end to end: level and line (array of x, y)."""
-    seg = settle(segments.withColumn("u", F.concat_ws(" ", F.col("level").cast("string"), "a")).withColumn("v", F.concat_ws(" ", F.col("level").cast("string"), "b")))
-    nodes = seg.select(F.col("u").alias("node")).unionByName(seg.select(F.col("v").alias("node"))).distinct()
-    roots = least_reachable(seg.select("u", "v"), nodes)
-    rows = seg.join(roots, seg["u"] == roots["node"]).select("root", "level", "x1", "y1", "x2", "y2", "a", "b")
-    return rows.repartition("root").sortWithinPartitions("root").mapInPandas(_lines, "level double, line array<struct<x:double,y:double>>")
+    """Segments joined end to end: level and line (array of x, y).
+
+    A tile of TILE x TILE squares joins its own; only chains that go on in other tiles are linked by star steps.
+    """
+    tile = lambda k: F.expr(f"try_cast(element_at(split(a, ' '), {k}) AS long) div {TILE}")
+    kinds = "level double, x1 double, y1 double, x2 double, y2 double, a string, b string, label string, open_a boolean, open_b boolean"
+    tiled = segments.select(F.col("level").cast("double").alias("level"), "x1", "y1", "x2", "y2", "a", "b", tile(2).alias("ti"), tile(3).alias("tj"))
+    seg = settle(tiled.groupBy("ti", "tj").applyInPandas(_labelled, kinds))
+    chain = lambda c: F.concat_ws(" ", F.col("level").cast("string"), c)
+    ends = seg.select("level", "label", F.explode(F.array(F.when(F.col("open_a"), F.col("a")), F.when(F.col("open_b"), F.col("b")))).alias("node")).where("node IS NOT NULL")
+    edges = ends.groupBy("level", "node").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select(chain("u").alias("u"), chain("v").alias("v"))
+    roots = components(edges).withColumnRenamed("root", "_root")
+    rows = seg.withColumn("node", chain("label")).join(roots, "node", "left").select(F.coalesce("_root", "node").alias("root"), "level", "x1", "y1", "x2", "y2", "a", "b")
+    return rows.repartition("root").sortWithinPartitions("root").mapInArrow(_lines, "level double, line array<struct<x:double,y:double>>")
 
 
 def _volumes(diff: DataFrame, area: float) -> DataFrame:

@@ -1,9 +1,11 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aerolith.functions import graph
 from aerolith.functions.stencil import box3, dilated_diamond, dilated_square, gaussian_weights, gradient, median3, smooth
 from aerolith.operators import hydro, profile, terrain
 from aerolith.schema import ConfigurationError, GridSpec
@@ -108,6 +110,38 @@ def test_contours_of_a_cone(spark):
     assert terrain.contour_segments(as_raster(spark, np.full((3, 3), np.nan)), spec).count() == 0
 
 
+def test_contours_over_many_tiles(spark, monkeypatch):
+    # before, all segments went into the star steps
+    monkeypatch.setattr(terrain, "TILE", 16, raising=False)
+    linked = []
+    for module in (graph, terrain):
+        if hasattr(module, "components"):
+            monkeypatch.setattr(module, "components", lambda edges, f=module.components: linked.append(edges.count()) or f(edges))
+    a = dem_array(70, 50)
+    a[20:23, 30:33] = np.nan
+    seg = terrain.contour_segments(as_raster(spark, a), GridSpec(0.0, 70.0, 1.0, 1.0, 50, 70), interval=0.5).cache()
+    rows, up = seg.collect(), {}
+
+    def top(n):
+        while up.setdefault(n, n) != n:
+            n = up[n]
+        return n
+
+    for r in rows:
+        up[top((r["level"], r["a"]))] = top((r["level"], r["b"]))
+    places, count = {}, Counter()
+    for r in rows:
+        root = top((r["level"], r["a"]))
+        places.setdefault(root, set()).update({(r["x1"], r["y1"]), (r["x2"], r["y2"])})
+        count[root] += 1
+    expected = sorted((root[0], count[root] + 1, sorted(found)) for root, found in places.items())
+    got = [(r["level"], [(p["x"], p["y"]) for p in r["line"]]) for r in terrain.contour_lines(seg).collect()]
+    assert sorted((level, len(line), sorted(set(line))) for level, line in got) == expected
+    pieces = {(r["level"], *sorted([(r["x1"], r["y1"]), (r["x2"], r["y2"])])) for r in rows}
+    assert all((level, *sorted(pair)) in pieces for level, line in got for pair in zip(line, line[1:]))
+    assert linked and sum(linked) < len(rows) / 4
+
+
 def brute_d8(a):
     codes = np.zeros(a.shape, int)
     for r in range(a.shape[0]):
