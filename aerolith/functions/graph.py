@@ -9,13 +9,13 @@ from aerolith.plans.storage import settle
 
 
 def subtree_sizes(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, n): how many nodes reach each node of a forest along (node, to), itself included.
+    """(node, n): how many nodes reach each node of a forest along (node, to), itself included; with n in the links, the sum of theirs.
 
     Pointer doubling: after round k a node knows the nodes within 2**k steps above it and
     its own 2**k-th successor, so the longest path costs its logarithm in rounds. Each
     round sums by successor before the shuffle and joins two tables of one row a node.
     """
-    state = settle(links.select("node", "to", F.lit(1).cast("long").alias("n")))
+    state = settle(links.select("node", "to", F.col("n") if "n" in links.columns else F.lit(1).cast("long").alias("n")))
     for _ in range(most_rounds):
         if state.where("to IS NOT NULL").isEmpty():
             return state.select("node", "n")

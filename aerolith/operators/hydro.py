@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,14 @@ from aerolith.schema import ComputationError, GridSpec
 
 #: What a stencil sees in a cell without data.
 SENTINEL = -9999.0
+#: Cells along a tile's side, within which flow is summed at first.
+TILE = 128
 #: Direction code, neighbour, row step, column step.
 DIRECTIONS = [(1, "e", 0, 1), (2, "se", 1, 1), (4, "s", 1, 0), (8, "sw", 1, -1), (16, "w", 0, -1), (32, "nw", -1, -1), (64, "n", -1, 0), (128, "ne", -1, 1)]
 
 
-def d8(raster: DataFrame, spec: GridSpec, sentinel: float | None = SENTINEL) -> DataFrame:
-    """row, col, code of the steepest strictly lower neighbour (the lowest code of equal ones), 0 for none."""
+def _coded(raster: DataFrame, spec: GridSpec, sentinel: float | None = SENTINEL) -> DataFrame:
+    """row, col, z and the code of the steepest strictly lower neighbour."""
     df = eight(raster, sentinel=sentinel)
     far = math.hypot(spec.res_x, spec.res_y)
     drops = []
@@ -29,7 +33,12 @@ def d8(raster: DataFrame, spec: GridSpec, sentinel: float | None = SENTINEL) ->
         drops.append(F.struct(((F.col("z") - F.col(name)) / dist).alias("drop"), F.lit(-code).alias("code")))
     # the greatest drop, and of equal ones the greatest -code
     best = F.array_max(F.filter(F.array(*drops), lambda d: d["drop"] > 0))
-    return df.select("row", "col", F.coalesce(F.when(F.col("z").isNotNull(), -best["code"]), F.lit(0)).cast("int").alias("code"))
+    return df.select("row", "col", "z", F.coalesce(F.when(F.col("z").isNotNull(), -best["code"]), F.lit(0)).cast("int").alias("code"))
+
+
+def d8(raster: DataFrame, spec: GridSpec, sentinel: float | None = SENTINEL) -> DataFrame:
+    """row, col, code of the steepest strictly lower neighbour (the lowest code of equal ones), 0 for none."""
+    return _coded(raster, spec, sentinel).drop("z")
 
 
 def d_infinity(raster: DataFrame, spec: GridSpec) -> DataFrame:
@@ -39,23 +48,65 @@ def d_infinity(raster: DataFrame, spec: GridSpec) -> DataFrame:
     return df.select("row", "col", F.when(F.col("z").isNotNull(), angle).alias("angle"))
 
 
-def _receivers(codes: DataFrame, spec: GridSpec) -> DataFrame:
-    """Cell numbers and those of the cells they drain into (null: none)."""
-    step = F.create_map(*[F.lit(x) for code, _, dr, dc in DIRECTIONS for x in (code, dr * spec.width + dc)])
-    return codes.select((F.col("row") * spec.width + F.col("col")).alias("node"), (F.col("row") * spec.width + F.col("col") + step[F.col("code")]).alias("to"))
+def _tile_flow(nodes: np.ndarray, to: np.ndarray, width: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within one tile: n with all that drains through each cell, and the position of the cell in which the tile's part of its path ends."""
+    order = np.argsort(nodes)
+    at = order[np.minimum(np.searchsorted(nodes, to, sorter=order), len(nodes) - 1)]
+    step = np.where(nodes[at] == to, at, -1)
+    last = np.where(step < 0, np.arange(len(nodes)), step)
+    for _ in range(64):
+        some = step >= 0
+        if not some.any():
+            return n, last
+        n = n + np.bincount(step[some], n[some], len(n)).astype(np.int64)
+        step[some], last = step[step[some]], last[last]
+    raise RuntimeError("the links have a cycle")
+
+
+def _drained(links: DataFrame, width: int) -> DataFrame:
+    """(node, n): how many nodes reach each one, itself included; links have node and to, cells that may lie anywhere.
+
+    A tile sums its own cells. Only cells from which flow leaves a tile are linked by pointer doubling, each to the one where
+    that flow leaves the next tile; what they bring is then summed along the paths within the tiles.
+    """
+    tiled = lambda df: df.withColumn("_ti", F.expr(f"node div {width * TILE}L")).withColumn("_tj", F.expr(f"node % {width}L div {TILE}L"))
+    links = tiled(links)
+
+    def rim(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, to = pdf["node"].to_numpy(), pdf["to"].fillna(-1).to_numpy().astype(np.int64)
+        n, last = _tile_flow(nodes, to, width, np.ones(len(nodes), np.int64))
+        row, col = nodes // width, nodes % width
+        out = (to >= 0) & ((to // width // TILE != row // TILE) | (to % width // TILE != col // TILE))
+        edge = (row % TILE % (TILE - 1) == 0) | (col % TILE % (TILE - 1) == 0) | (col == width - 1) | out
+        found = pd.DataFrame({"node": nodes, "to": pd.array(to, "Int64").copy(), "n": n, "end": pd.array(nodes[last], "Int64").copy()})
+        found.loc[~out, "to"] = pd.NA
+        found.loc[~out[last], "end"] = pd.NA
+        return found[edge]
+
+    rims = settle(links.groupBy("_ti", "_tj").applyInPandas(rim, "node long, to long, n long, end long"))
+    leaving = rims.where("to IS NOT NULL")
+    chain = leaving.select("node", "to", "n").join(rims.select(F.col("node").alias("to"), F.col("end").alias("next")), "to", "left")
+    totals = subtree_sizes(chain.select("node", F.col("next").alias("to"), "n"))
+    brought = tiled(leaving.select("node", "to").join(totals, "node").groupBy(F.col("to").alias("node")).agg(F.sum("n").alias("more")))
+
+    def summed(_: tuple, pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"node": [], "n": []})
+        nodes, to = pdf["node"].to_numpy(), pdf["to"].fillna(-1).to_numpy().astype(np.int64)
+        own = 1 + pd.Series(more["more"].to_numpy(), more["node"].to_numpy()).reindex(nodes).fillna(0).to_numpy().astype(np.int64)
+        return pd.DataFrame({"node": nodes, "n": _tile_flow(nodes, to, width, own)[0]})
+
+    return links.groupBy("_ti", "_tj").cogroup(brought.groupBy("_ti", "_tj")).applyInPandas(summed, "node long, n long")
 
 
 def accumulation(raster: DataFrame, spec: GridSpec, codes: DataFrame | None = None, units: str = "cells") -> DataFrame:
     """row, col, acc: cells (or area) that drain through each valid cell, itself included; flow into voids is lost."""
     if units not in ("cells", "m2"):
         raise ComputationError(f"units are cells or m2, not {units}")
-    codes = d8(raster, spec) if codes is None else codes
-    cells = raster.where("z IS NOT NULL").select("row", "col")
-    links = _receivers(codes.join(cells, ["row", "col"]), spec)
-    links = settle(links)
-    live = links.select(F.col("node").alias("to"), F.lit(True).alias("_live"))
-    links = links.join(live, "to", "left").select("node", F.when(F.col("_live"), F.col("to")).alias("to"))
-    sizes = subtree_sizes(links)
+    valid = _coded(raster, spec).where("z IS NOT NULL") if codes is None else codes.join(raster.where("z IS NOT NULL").select("row", "col"), ["row", "col"])
+    links = settle(valid.select((F.col("row") * spec.width + F.col("col")).alias("node"), "code"))
+    step = F.create_map(*[F.lit(x) for code, _, dr, dc in DIRECTIONS for x in (code, dr * spec.width + dc)])
+    sizes = _drained(links.select("node", (F.col("node") + step[F.col("code")]).alias("to")), spec.width)
     area = spec.cell_area if units == "m2" else 1
     acc = (F.col("n") * area).cast("double") if units == "m2" else F.col("n")
     return sizes.select(F.expr(f"node div {spec.width}L").alias("row"), (F.col("node") % spec.width).alias("col"), acc.alias("acc"))

@@ -209,3 +209,26 @@ def test_histogram_and_chips(spark, dem):
     got = profile.zonal(dem, SPEC, chips).collect()
     assert len(got) == 1 and got[0]["cells"] == 400
     assert got[0]["mean_z"] == pytest.approx(dem_array(H, W)[20:40, :20].mean())
+
+
+def test_accumulation_over_many_tiles(spark, monkeypatch):
+    # before, every cell went into the pointer doubling
+    monkeypatch.setattr(hydro, "TILE", 16, raising=False)
+    linked = []
+    monkeypatch.setattr(hydro, "subtree_sizes", lambda links, f=hydro.subtree_sizes: linked.append(links.count()) or f(links))
+    h, w = 70, 50
+    a = dem_array(h, w)
+    a[20:23, 30:33] = np.nan
+    dem, spec = as_raster(spark, a), GridSpec(0.0, float(h), 1.0, 1.0, w, h)
+    steps = {code: (dr, dc) for code, _, dr, dc in hydro.DIRECTIONS}
+    codes = hydro.d8(dem, spec).cache()
+    code = {(r["row"], r["col"]): r["code"] for r in codes.collect()}
+    expected = {cell: 1 for cell in code if not np.isnan(a[cell])}
+    for cell in sorted(expected, key=lambda c: -a[c]):
+        dr, dc = steps.get(code[cell], (0, 0))
+        to = (cell[0] + dr, cell[1] + dc)
+        if to != cell and to in expected:
+            expected[to] += expected[cell]
+    for given in (None, codes):
+        assert {(r["row"], r["col"]): r["acc"] for r in hydro.accumulation(dem, spec, given).collect()} == expected
+    assert len(linked) == 2 and max(linked) < len(expected) / 4
